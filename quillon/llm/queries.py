@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillon.llm.languages import segments, undenoted
 from quillon.llm.tokens import encode
 from quillon.runtime import table
 
@@ -12,5 +14,23 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids,)}
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    return segments(table(spark, folder, "documents"), table(spark, folder, "lang_labels"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return undenoted(_segments(spark, folder))
+
+
+def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and confidence of each document."""
+    return _segments(spark, folder).select("doc_id", "denoted", "lang", F.round("confidence", 4).alias("confidence"))
+
+
+def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and confidence of each paragraph of prose."""
+    return _segments(spark, folder).select("doc_id", F.inline("segments")).select("doc_id", "segment", "lang", F.round("confidence", 4).alias("confidence"), "chars")
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p8_found, p8_documents, p8_segments)}
 SQL: dict[str, str] = {}
