@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.clusters import clusters, typical
 from quillon.llm.languages import segments, undenoted
 from quillon.llm.sequences import frequent_subsequences
 from quillon.llm.tokens import encode
-from quillon.runtime import table
+from quillon.runtime import dim_join, table
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,7 +43,18 @@ def p2_patterns(spark: SparkSession, folder: str) -> DataFrame:
     return frequent_subsequences(table(spark, folder, "bursts"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_patterns, p6_ids, p8_found, p8_documents, p8_segments)}
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    members, _, isolated = clusters(table(spark, folder, "bursts"), table(spark, folder, "burst_events"))
+    return dim_join(members, isolated.select("cluster", F.col("first").alias("group_first")), ["cluster"]).select("instance", "group_first")
+
+
+def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Each cluster of similar bursts with its size, medians and most typical instances."""
+    members, stats, _ = clusters(table(spark, folder, "bursts"), table(spark, folder, "burst_events"))
+    return typical(members, stats)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_patterns, p3_found, p3_clusters, p6_ids, p8_found, p8_documents, p8_segments)}
 _PATTERNS = """
 WITH d AS (SELECT instance, max(trace_id) AS trace_id, max(task_id) AS task_id, max(thread_id) AS thread_id, max(begin_time) AS t, max(cluster_id) AS c FROM bursts GROUP BY instance),
 s AS (SELECT trace_id, task_id, thread_id, c, row_number() OVER (PARTITION BY trace_id, task_id, thread_id ORDER BY t, instance) AS k FROM d WHERE c >= 6),
