@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.clusters import clusters, typical
 from quillon.llm.languages import segments, undenoted
+from quillon.llm.packing import pack
 from quillon.llm.sequences import frequent_subsequences
 from quillon.llm.tokens import encode
 from quillon.runtime import dim_join, table
@@ -54,7 +55,12 @@ def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return typical(members, stats)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_patterns, p3_found, p3_clusters, p6_ids, p8_found, p8_documents, p8_segments)}
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """container, doc_id, start, length and place of every piece of text."""
+    return pack(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_patterns, p3_found, p3_clusters, p6_ids, p7_containers, p8_found, p8_documents, p8_segments)}
 _PATTERNS = """
 WITH d AS (SELECT instance, max(trace_id) AS trace_id, max(task_id) AS task_id, max(thread_id) AS thread_id, max(begin_time) AS t, max(cluster_id) AS c FROM bursts GROUP BY instance),
 s AS (SELECT trace_id, task_id, thread_id, c, row_number() OVER (PARTITION BY trace_id, task_id, thread_id ORDER BY t, instance) AS k FROM d WHERE c >= 6),
