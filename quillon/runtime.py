@@ -6,11 +6,11 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest estimated size (bytes) of a side that is broadcast; beyond it a shuffled join is used.
-BROADCAST_LIMIT = 32 << 20
+BROADCAST_LIMIT = 8 << 20
 _written: list[tuple[SparkSession, str]] = []
 _own_dir: list[str] = []
 
@@ -81,5 +81,10 @@ def salted_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "i
     return salted.join(wide, [*keys, "_salt"], how).drop("_salt")
 
 
+def one_row(df: DataFrame, **aggregates) -> Column:  # noqa: ANN003
+    """All aggregates of a table as one struct from a scalar subquery, to be used beside its rows."""
+    return df.agg(F.struct(*[c.alias(n) for n, c in aggregates.items()]).alias("_one")).scalar()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
