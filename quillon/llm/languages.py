@@ -2,8 +2,8 @@
 
 A multinomial logistic regression on TF-IDF character n-grams (hashed) is trained with follow-the-regularised-
 leader and elastic-net penalties on a bounded sample of labelled documents: at most about SAMPLE_DOCS documents
-of each language and SAMPLE_PARAGRAPHS paragraphs of each. Labels are partly wrong, so a second round leaves out
-paragraphs whose label the first round doubts. A temperature fitted on held-out paragraphs calibrates the
+of each language and SAMPLE_PARAGRAPHS paragraphs of each. Labels are partly wrong, so paragraphs whose label
+models of the other documents doubt are left out. A temperature fitted on held-out judgements calibrates the
 confidence. Every paragraph of every document is then scored.
 """
 
@@ -23,11 +23,11 @@ from quillon.llm.words import slices
 
 GRAMS = (1, 2, 3)
 BUCKETS = 1 << 16
-SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 100, 3
+SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 150, 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.5
-EPOCHS, BATCH = 3, 64
+EPOCHS, BATCH = 2, 64
 SCALE = 20.0  #: sum of the feature values of a text
-HELD_OUT = 5  #: every fifth sampled document is held out for the temperature
+FOLDS, ROUNDS = 3, 2  #: of the judgement of labels
 PRESENT = 0.5  #: least confidence of a language that is present
 
 
@@ -74,13 +74,13 @@ class Model:
         n, c = len(texts), self.weights.shape[1]
         bucket, owner = grams(texts)
         total = np.zeros((n, c), np.float64)
-        # texts are contiguous within each n: sum stretches of one text
-        if len(owner):
-            at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            for s in range(0, len(at), 2000):
-                first, last = at[s], at[s + 2000] if s + 2000 < len(at) else len(owner)
-                part = np.add.reduceat(self.weights[bucket[first:last]], at[s:s + 2000] - first, axis=0)
-                np.add.at(total, owner[at[s:s + 2000]], part)
+        # texts are contiguous within each n: sum stretches of one text, each once in a block
+        at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
+        again = np.flatnonzero(np.diff(owner[at], prepend=-1) < 0)
+        edges = np.unique(np.r_[0, again, np.arange(0, len(at), 1000), len(at)])
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            first, last = at[s], at[e] if e < len(at) else len(owner)
+            total[owner[at[s:e]]] += np.add.reduceat(self.weights[bucket[first:last]], at[s:e] - first, axis=0)
         norm = np.bincount(owner, self.idf[bucket], n) if len(owner) else np.zeros(n)
         return self.bias + SCALE * total / np.maximum(norm, 1e-9)[:, None]
 
@@ -119,12 +119,11 @@ def train(texts: list[str], labels: np.ndarray, classes: int, seed: int = 0) ->
             local = np.repeat(np.arange(len(part)), first[part + 1] - first[part])
             rows, inv = np.unique(feature[at], return_inverse=True)
             w = weights(rows)
-            logits = np.tile(bias, (len(part), 1))
-            np.add.at(logits, local, w[inv] * value[at][:, None])
-            error = softmax(logits)
+            x = np.zeros((len(part), len(rows)), np.float32)
+            x[local, inv] = value[at]
+            error = softmax(bias + x @ w)
             error[np.arange(len(part)), labels[part]] -= 1
-            grad = np.zeros_like(w)
-            np.add.at(grad, inv, error[local] * value[at][:, None])
+            grad = x.T @ error
             old = g2[rows]
             z[rows] += grad - (np.sqrt(old + grad**2) - np.sqrt(old)) / ALPHA * w
             g2[rows] = old + grad**2
@@ -134,18 +133,27 @@ def train(texts: list[str], labels: np.ndarray, classes: int, seed: int = 0) ->
     return Model((w * idf[:, None]).astype(np.float32), idf, bias, 1.0)
 
 
-def fit(texts: list[str], labels: np.ndarray, held: np.ndarray, classes: int) -> Model:
-    """Two rounds, the second without paragraphs whose label the first doubts; then the temperature."""
-    own = np.flatnonzero(~held)
-    first = train([texts[i] for i in own], labels[own], classes)
-    trust = first.probabilities(texts)[np.arange(len(texts)), labels] >= 0.5
-    own = np.flatnonzero(~held & trust)
-    model = train([texts[i] for i in own], labels[own], classes, seed=1)
-    test = np.flatnonzero(held & trust)
-    if len(test):
-        z = model.logits([texts[i] for i in test])
-        choice = [(-np.log(np.maximum(softmax(z / t)[np.arange(len(test)), labels[test]], 1e-12)).mean(), t) for t in np.geomspace(0.5, 4, 30)]
-        model.temperature = float(min(choice)[1])
+def fit(texts: list[str], labels: np.ndarray, doc: np.ndarray, classes: int) -> Model:
+    """The model from paragraphs whose label models of the other documents confirm, then the temperature.
+
+    Documents are dealt to FOLDS; each fold is judged by a model trained without it, so no model can have
+    learned the label it judges. The second time the models are trained on confirmed paragraphs only. The
+    temperature is fitted on the judgements of confirmed paragraphs by those models.
+    """
+    trust = np.ones(len(texts), bool)
+    z = np.zeros((len(texts), classes))
+    for _ in range(ROUNDS):
+        for k in range(FOLDS):
+            own, other = np.flatnonzero(trust & (doc % FOLDS != k)), np.flatnonzero(doc % FOLDS == k)
+            if len(own) and len(other):
+                z[other] = train([texts[i] for i in own], labels[own], classes).logits([texts[i] for i in other])
+        trust = z.argmax(1) == labels
+    if not trust.any():
+        trust[:] = True
+    own = np.flatnonzero(trust)
+    model = train([texts[i] for i in own], labels[own], classes)
+    choice = [(-np.log(np.maximum(softmax(z[own] / t)[np.arange(len(own)), labels[own]], 1e-12)).mean(), t) for t in np.geomspace(0.3, 4, 40)]
+    model.temperature = float(min(choice)[1])
     return model
 
 
@@ -173,8 +181,8 @@ def learn(docs: DataFrame, names: DataFrame) -> tuple[list[str], Model]:
     if not rows.num_rows:
         return languages, Model(np.zeros((BUCKETS, max(1, len(languages))), np.float32), np.ones(BUCKETS, np.float32), np.zeros(max(1, len(languages))), 1.0)
     number = {k: i for i, k in enumerate(languages)}
-    held = np.cumsum([1, *(a != b for a, b in zip(rows["doc"].to_pylist()[1:], rows["doc"].to_pylist()))]) % HELD_OUT == 0
-    return languages, fit(rows["text"].to_pylist(), np.array([number[k] for k in rows["lang"].to_pylist()]), held, len(languages))
+    doc = np.cumsum([1, *(a != b for a, b in zip(rows["doc"].to_pylist()[1:], rows["doc"].to_pylist()))])
+    return languages, fit(rows["text"].to_pylist(), np.array([number[k] for k in rows["lang"].to_pylist()]), doc, len(languages))
 
 
 def pack(model: Model) -> np.ndarray:
