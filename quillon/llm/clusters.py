@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.components import components, smallest
+from quillon.operators.components import components, smallest
 from quillon.runtime import cut, dim_join
 
 DIMS = ("x", "y", "z")
