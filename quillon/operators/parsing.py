@@ -188,7 +188,7 @@ def _semantic_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         some = (size > k) & (reason[rows] == 0)
         at = rows[some]
         ids[k][at], bad, over = integers(pc.list_element(parts.filter(pa.array(some)), k), LIMIT_32)
-        _note(reason, at[bad | (ids[k][at] == 0)], OBJECT)
+        _note(reason, at[bad | ((ids[k][at] == 0) & ~over)], OBJECT)
         _note(reason, at[over], RANGE)
     two = np.zeros(n, bool)
     two[rows[size == 2]] = True
