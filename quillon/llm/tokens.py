@@ -28,7 +28,7 @@ TOKENIZERS = "/opt/tokenizers"
 LEXICON_WORDS = 50_000  #: words in the lexicon; all others are merged by rank, with the same result
 WORD_BYTES = 64  #: longer words stay out of the lexicon
 COUNT_ROWS = 200_000  #: distinct words a task holds before it hands its counts on
-MERGED_KEPT = 500_000  #: merged words a worker remembers
+MERGED_KEPT = 100_000  #: merged words a worker remembers
 
 
 @cache

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 OTHER, LETTER, DIGIT, BLANK = 0, 1, 2, 3
 #: The characters with the Unicode property White_Space.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-SLICE_BYTES = 4 << 20  #: text handled at once; a longer text forms a slice of its own
+SLICE_BYTES = 1 << 20  #: text handled at once; a longer text forms a slice of its own
 
 
 @cache
