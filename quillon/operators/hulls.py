@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 HULL = "cluster_id long, density long, total_time long, points array<struct<x:double,y:double,instance:long>>"
 GRID = 50
+SHIPPED_CORNERS = 200_000  #: about 5 MB
 
 
 def hull(points: np.ndarray) -> np.ndarray:
@@ -70,23 +71,45 @@ def _inside(px, py, points):  # noqa: ANN001, ANN202
 
 
 def classify(points: DataFrame, model: DataFrame, x: str, y: str, key: str = "instance") -> DataFrame:
-    """(key, cluster_id) of the first hull that holds a point, 0 without one.
+    """(key, cluster_id) of the first hull (least id) that holds a point, 0 without one; a null coordinate gives 0.
 
-    Points meet hulls through a grid of hull boxes: the plane is cut into GRID x GRID cells of the model's
-    range, a hull is listed in the cells its box covers, and only points of those cells are tested.
+    A model of at most SHIPPED_CORNERS corners, as it is after ``global_model``, is sent along with the tasks and
+    tested hull by hull over whole batches. A larger one meets the points through a grid join.
     """
-    flat = model.select("cluster_id", "points", F.array_min(F.transform("points", lambda p: p["x"])).alias("x0"), F.array_max(F.transform("points", lambda p: p["x"])).alias("x1"),
-                        F.array_min(F.transform("points", lambda p: p["y"])).alias("y0"), F.array_max(F.transform("points", lambda p: p["y"])).alias("y1"))
+    kind = dict(points.dtypes)[key]
+    rows = points.select(F.col(key).alias("key"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    corners = model.agg(F.sum(F.size("points"))).first()[0] or 0
+    if corners > SHIPPED_CORNERS:
+        return _classify_by_grid(rows, model).withColumnRenamed("key", key)
+    own = [(r["cluster_id"], np.array([[p["x"], p["y"]] for p in r["points"]])) for r in model.orderBy("cluster_id").collect() if len(r["points"]) > 2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            px, py = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            found = np.zeros(len(px), np.int64)
+            for number, p in own:
+                low, high = p.min(0), p.max(0)
+                at = np.flatnonzero((found == 0) & (px >= low[0]) & (px <= high[0]) & (py >= low[1]) & (py <= high[1]))
+                for (ax, ay), (bx, by) in zip(p, np.roll(p, -1, axis=0)):
+                    at = at[(bx - ax) * (py[at] - ay) - (by - ay) * (px[at] - ax) >= 0]
+                found[at] = number
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["key", "cluster_id"])
+
+    return rows.mapInArrow(run, f"key {kind}, cluster_id long").withColumnRenamed("key", key)
+
+
+def _classify_by_grid(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """The plane is cut into GRID x GRID cells of the model's range; a hull is listed in the cells its box covers."""
+    flat = model.select(
+        "cluster_id", "points", F.array_min(F.transform("points", lambda p: p["x"])).alias("x0"), F.array_max(F.transform("points", lambda p: p["x"])).alias("x1"),
+        F.array_min(F.transform("points", lambda p: p["y"])).alias("y0"), F.array_max(F.transform("points", lambda p: p["y"])).alias("y1"))
     lim = flat.agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
-    rows = points.select(key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    if lim[0] is None:
-        return rows.select(key, F.lit(0).cast("long").alias("cluster_id"))
     at = lambda c, low, high: F.floor((c - low) / ((high - low) or 1.0) * GRID).cast("int")
     listed = flat.withColumn("_i", F.explode(F.sequence(at(F.col("x0"), lim[0], lim[1]), at(F.col("x1"), lim[0], lim[1])))).withColumn(
         "_j", F.explode(F.sequence(at(F.col("y0"), lim[2], lim[3]), at(F.col("y1"), lim[2], lim[3]))))
     placed = rows.withColumn("_i", at(F.col("_x"), lim[0], lim[1])).withColumn("_j", at(F.col("_y"), lim[2], lim[3]))
-    hit = placed.join(listed, ["_i", "_j"]).where(_inside(F.col("_x"), F.col("_y"), F.col("points"))).groupBy(key).agg(F.min("cluster_id").alias("cluster_id"))
-    return rows.select(key).join(hit, key, "left").select(key, F.coalesce("cluster_id", F.lit(0)).cast("long").alias("cluster_id"))
+    hit = placed.join(listed, ["_i", "_j"]).where(_inside(F.col("_x"), F.col("_y"), F.col("points"))).groupBy("key").agg(F.min("cluster_id").alias("cluster_id"))
+    return rows.select("key").join(hit, "key", "left").select("key", F.coalesce("cluster_id", F.lit(0)).cast("long").alias("cluster_id"))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> bool:

@@ -13,6 +13,7 @@ from quillon.operators import assembly, centroid, hulls, refine
 from quillon.operators.dbscan import dbscan
 from quillon.operators.neighbors import k_distances, nearest_label
 from quillon.operators.normalize import range_normalize, stride_sample
+from quillon.operators.ranks import ranked
 from quillon.operators.sequence_score import aligned_sequences, score_by_cluster
 from quillon.operators.stats import cluster_stats, rank_clusters
 from quillon.runtime import cut, dim_join
@@ -64,8 +65,8 @@ class Analysis:
         usable = M.usable_types(inside, ["task", "thread", "begin"])
         totals = assembly.sums(usable).groupBy("task", "thread", "begin").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "total"))).alias("counters"))
         kept = spans if running is None else spans.where(F.col("state") == running)
-        joined = kept.join(totals, ["task", "thread", "begin"], "left")
-        return joined.select(F.xxhash64("task", "thread", "begin", "line").alias("instance"), F.col("task").alias("task_id"), F.col("thread").alias("thread_id"), F.col("begin").alias("begin_time"),
+        joined = ranked(kept.join(totals, ["task", "thread", "begin"], "left"), [], ["end", "task", "thread", "begin"], "instance")  # W1: in the order they close
+        return joined.select("instance", F.col("task").alias("task_id"), F.col("thread").alias("thread_id"), F.col("begin").alias("begin_time"),
                              F.col("end").alias("end_time"), (F.col("end") - F.col("begin")).alias("duration"), "line", "counters")
 
     def prepare(self, bursts: DataFrame) -> DataFrame:
@@ -96,9 +97,9 @@ class Analysis:
             rest = points.join(sample.select("id"), "id", "left_anti")
             labels = labels.unionByName(nearest_label(rest, known.where("cluster_id > 0"), self.dims, float(self.definition.arguments["epsilon"])))
         labelled = bursts.join(labels.withColumnRenamed("id", "instance"), "instance", "left")
-        ranks = rank_clusters(cluster_stats(labelled.where("cluster_id is not null"))).select("cluster_id", "ranked_id")
-        ranked = dim_join(labelled, cut(ranks, "ranks"), ["cluster_id"], "left").drop("cluster_id").withColumnRenamed("ranked_id", "cluster_id")
-        return self._threshold(ranked)
+        names = rank_clusters(cluster_stats(labelled.where("cluster_id is not null"))).select("cluster_id", "ranked_id")
+        renamed = dim_join(labelled, cut(names, "names"), ["cluster_id"], "left").drop("cluster_id").withColumnRenamed("ranked_id", "cluster_id")
+        return self._threshold(renamed)
 
     def _threshold(self, bursts: DataFrame) -> DataFrame:
         """F7, only if asked for: clusters of less than this percentage of the time become id -1."""

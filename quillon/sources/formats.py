@@ -54,10 +54,10 @@ def labels(lines: DataFrame) -> DataFrame:
     head = F.when(line == "EVENT_TYPE", "type").when(line == "VALUES", "value").when(line == "STATES", "state").when((line == "") | line.rlike("^[A-Z_]+$"), "none")
     marked = lines.withColumn("_head", head).withColumn("_section", F.last("_head", ignorenulls=True).over(own))
     marked = marked.withColumn("_block", F.sum(F.when(F.col("_head") == "type", 1).otherwise(0)).over(own)).where("_head is null")
-    types = marked.where("_section = 'type'").select("_block", F.regexp_extract(line, r"^\d+\s+(\d+)\s+(.*)$", 1).cast("long").alias("event_type"), F.regexp_extract(line, r"^\d+\s+(\d+)\s+(.*)$", 2).alias("label"))
+    types = marked.where("_section = 'type'").select("_block", F.regexp_extract(line, r"^\d+\s+(\d+)\s+(.*)$", 1).try_cast("long").alias("event_type"), F.regexp_extract(line, r"^\d+\s+(\d+)\s+(.*)$", 2).alias("label"))
     pair = lambda s, i: F.regexp_extract(line, r"^(\d+)\s+(.*)$", i)
-    values = marked.where("_section = 'value'").select("_block", pair("v", 1).cast("long").alias("number"), pair("v", 2).alias("label"))
-    state = marked.where("_section = 'state'").select(F.lit("state").alias("kind"), F.lit(None).cast("long").alias("event_type"), pair("s", 1).cast("long").alias("number"), pair("s", 2).alias("label"))
+    values = marked.where("_section = 'value'").select("_block", pair("v", 1).try_cast("long").alias("number"), pair("v", 2).alias("label"))
+    state = marked.where("_section = 'state'").select(F.lit("state").alias("kind"), F.lit(None).cast("long").alias("event_type"), pair("s", 1).try_cast("long").alias("number"), pair("s", 2).alias("label"))
     typed = types.select(F.lit("type").alias("kind"), "event_type", F.lit(None).cast("long").alias("number"), "label")
     valued = types.select("_block", "event_type").join(values, "_block").select(F.lit("value").alias("kind"), "event_type", "number", "label")
     return typed.unionByName(valued).unionByName(state)

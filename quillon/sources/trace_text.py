@@ -21,7 +21,7 @@ def records(lines: DataFrame, kinds: Sequence[int] = (STATE, EVENT, COMM, GLOBAL
     """
     kind = F.regexp_extract("value", r"^\s*([1-4]):", 1)
     hit = lines.where(kind.isin(*[str(k) for k in kinds]))
-    split = hit.select("line", kind.cast("int").alias("kind"), F.split(F.regexp_replace("value", r"\s", ""), ":").alias("fields"))
+    split = hit.select("line", kind.try_cast("int").alias("kind"), F.split(F.regexp_replace("value", r"\s", ""), ":").alias("fields"))
     if tasks is None:
         return split
     return split.where(F.get("fields", F.lit(3)).try_cast("long").isin(*[t + 1 for t in tasks]))
