@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.ranks import ranked
+from quillon.runtime import cut
 
 GAP = -1
 LETTERS = "ABCDEFGHIKLMNPQRSTVWYZ"  #: fixed values: letters of the ids 0..21
@@ -131,9 +132,9 @@ def align(sequences: list[list[int]], weights: dict[int, float]) -> np.ndarray:
 def aligned_sequences(bursts: DataFrame, weights: DataFrame, group: str = "trace_id", keys: Sequence[str] = ("task_id", "thread_id"), order: str = "instance", cluster: str = "cluster_id", most: int = 512) -> DataFrame:
     """C22 for each group: (group, keys, col, cluster); gaps have a null cluster.
 
-    An alignment is a global computation over one group's sequences; they are cut into windows of ``most``
-    positions, each aligned by itself, so no task holds a whole long group. ``weights`` has (group, cluster,
-    weight), the clusters' shares of time.
+    An alignment is a global computation over its sequences; they are cut into windows of ``most`` positions,
+    each aligned by itself in a task of its own, so a task holds at most that many events of each thread of a
+    group. ``weights`` has (group, cluster, weight), the clusters' shares of time.
     """
     placed = ranked(bursts.select(group, *keys, order, cluster), [group, *keys], [order], "_pos").withColumn("_window", F.floor((F.col("_pos") - 1) / most))
     kinds = dict(bursts.dtypes)
@@ -141,21 +142,22 @@ def aligned_sequences(bursts: DataFrame, weights: DataFrame, group: str = "trace
 
     def run(rows: pa.Table, shares: pa.Table) -> pa.Table:
         own = dict(zip(shares.column(cluster).to_pylist(), shares.column("weight").to_pylist()))
-        frame = rows.to_pandas().sort_values([*keys, "_pos"])
+        part = rows.to_pandas().sort_values([*keys, "_pos"])
         out: dict[str, list] = {k: [] for k in (group, *keys, "window", "col", cluster)}
-        for w, part in frame.groupby("_window"):
-            names, lists = [], []
-            for name, own_rows in part.groupby(list(keys)):
-                names.append(name if isinstance(name, tuple) else (name,))
-                lists.append(own_rows[cluster].tolist())
-            for name, row in zip(names, align(lists, own)):
-                for c, v in enumerate(row.tolist()):
-                    for k, x in zip((group, *keys, "window", "col", cluster), (part[group].iloc[0], *name, w, c, None if v == GAP else v)):
-                        out[k].append(x)
+        names, lists = [], []
+        for name, own_rows in part.groupby(list(keys)):
+            names.append(name if isinstance(name, tuple) else (name,))
+            lists.append(own_rows[cluster].tolist())
+        for name, row in zip(names, align(lists, own)):
+            for c, v in enumerate(row.tolist()):
+                for k, x in zip((group, *keys, "window", "col", cluster), (part[group].iloc[0], *name, part["_window"].iloc[0], c, None if v == GAP else v)):
+                    out[k].append(x)
         types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
         return pa.table({k: pa.array(v, pa.int64() if k in ("window", "col") else types[kinds[k]]) for k, v in out.items()})
 
-    return placed.groupBy(group).cogroup(weights.select(group, cluster, "weight").groupBy(group)).applyInArrow(run, schema)
+    placed = cut(placed, "placed")
+    shares = weights.select(group, cluster, "weight").join(placed.select(F.col(group).alias(group), F.col("_window").alias("_w")).distinct(), group)
+    return placed.groupBy(group, "_window").cogroup(shares.groupBy(group, "_w")).applyInArrow(run, schema)
 
 
 def sequence_lines(aligned: DataFrame, keys: Sequence[str] = ("task_id", "thread_id"), cluster: str = "cluster_id") -> DataFrame:

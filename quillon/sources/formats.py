@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: How the formats begin.
-MAGIC = {"#Paraver": "trace", "SDDFA;;": "simulator", "# Instan": "bursts", "#1:SDDFA": "simulator"}
+#: How the formats begin; a log begins with # and its name.
+MAGIC = {"SDDFA;;": "simulator", "# Instan": "bursts"}
 
 
 def sniff(start: str) -> str:
@@ -14,7 +14,7 @@ def sniff(start: str) -> str:
     for magic, name in MAGIC.items():
         if start.startswith(magic):
             return name
-    return "unknown"
+    return "trace" if start[:1] == "#" and start[1:2].isalpha() else "unknown"
 
 
 def simulator_bursts(lines: DataFrame) -> DataFrame:

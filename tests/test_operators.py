@@ -294,7 +294,7 @@ def test_text_log(spark):
     assert trace_text.communicators(lines).first()["tasks"] == [0, 1] and trace_text.metadata(lines).first()["offset"] == 5
     head = trace_text.header(LOG[0])
     assert (head.final_time, head.time_factor, head.applications) == (1000, 1, [[(1, 1), (1, 1)]])
-    assert [formats.sniff(x) for x in ("#Paraver (", "SDDFA;;", "# Instance", "x")] == ["trace", "simulator", "bursts", "unknown"]
+    assert [formats.sniff(x) for x in ("#Trace (", "SDDFA;;", "# Instance", "x")] == ["trace", "simulator", "bursts", "unknown"]
 
 
 def test_simulator_records_and_labels(spark):
