@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.model import COUNTER_SET_TYPE, RUNNING
+from quillon.operators.ranks import neighbours
 from quillon.operators.skew import range_split
 from quillon.runtime import cut
 
@@ -64,17 +65,14 @@ def cut_counter_sets(inside: DataFrame, keys: Sequence[str] = ("task", "thread")
 
 def consecutive_regions(events: DataFrame, types: Sequence[int], keys: Sequence[str] = ("task", "thread"), order: Sequence[str] = ("ts", "line")) -> DataFrame:
     """Each listed event closes the region before it and opens the next; the last one stays open and gives none."""
-    own = Window.partitionBy(*keys).orderBy(*order)
-    listed = events.where(F.col("event_type").isin(*types))
-    nxt = listed.withColumn("end", F.lead("ts").over(own))
+    nxt = neighbours(events.where(F.col("event_type").isin(*types)), keys, order, ["ts"]).withColumn("end", F.col("_next.ts"))
     return nxt.where("end is not null").select(*keys, F.col("ts").alias("begin"), "end", F.col("event_type").alias("region_type"), F.col("event_value").alias("region_value"), "line")
 
 
 def event_regions(events: DataFrame, types: Sequence[int], keys: Sequence[str] = ("task", "thread"), order: Sequence[str] = ("ts", "line")) -> tuple[DataFrame, DataFrame]:
     """Regions from a listed event with a value to its closing 0, and the opens or closes that have no partner."""
-    own = Window.partitionBy(*keys).orderBy(*order)
     listed = events.where(F.col("event_type").isin(*types)).withColumn("_open", F.col("event_value") != 0)
-    seen = listed.withColumn("_next_open", F.lead("_open").over(own)).withColumn("end", F.lead("ts").over(own)).withColumn("_prev_open", F.lag("_open").over(own))
+    seen = neighbours(listed, keys, order, ["_open", "ts"]).select("*", F.col("_next._open").alias("_next_open"), F.col("_next.ts").alias("end"), F.col("_prev._open").alias("_prev_open"))
     good = seen.where(F.col("_open") & ~F.col("_next_open"))
     bad = seen.where((F.col("_open") & F.coalesce("_next_open", F.lit(True))) | (~F.col("_open") & ~F.coalesce("_prev_open", F.lit(False))))
     regions = good.select(*keys, F.col("ts").alias("begin"), "end", F.col("event_type").alias("region_type"), F.col("event_value").alias("region_value"), "line")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.components import components
 from quillon.operators.neighbors import folded, radius_pairs
+from quillon.operators.ranks import ranked
 from quillon.runtime import cut, dim_join
 
 
@@ -26,7 +27,7 @@ def dbscan(points: DataFrame, dims: Sequence[str], eps: float, min_points: int)
     core = cut(counted.where(F.col("n") >= min_points).select("id"), "core")
     linked = pairs.join(core, "id").join(core.select(F.col("id").alias("other")), "other")
     roots = cut(components(linked.select(F.col("id").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("id"), F.col("root").alias("start")), "roots")
-    starts = roots.select("start").distinct().withColumn("cluster_id", F.row_number().over(Window.orderBy("start")))  # one row per cluster
+    starts = ranked(roots.select("start").distinct(), [], ["start"], "number").select("start", F.col("number").cast("int").alias("cluster_id"))
     assigned = dim_join(roots, cut(starts, "starts"), ["start"])
     near = pairs.join(core, "id", "left_anti").join(assigned.select(F.col("id").alias("other"), "start", "cluster_id"), "other")
     first = F.max(F.when(F.col("other") == F.col("start"), F.col("cluster_id")))

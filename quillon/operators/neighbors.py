@@ -84,7 +84,7 @@ def k_nearest(queries: DataFrame, points: DataFrame, dims: Sequence[str], k: int
     parts = cut(own, "points")
     names = [f"_x{i}" for i in range(len(dims))]
 
-    chunks = max(1, min(64, -(-parts.count() // 20_000)))
+    chunks = max(1, -(-parts.count() // 20_000))
     grouped = parts.withColumn("_chunk", F.pmod(F.xxhash64("_p"), F.lit(chunks))).groupBy("_chunk")
     asked = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))).groupBy("_chunk")
     kind = T.LongType().simpleString()

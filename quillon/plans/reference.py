@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import metrics as M
-from quillon.operators import assembly, centroid, compare, hulls, neighbors, normalize, sequence_score, stats
+from quillon.operators import assembly, centroid, compare, hulls, neighbors, normalize, ranks, sequence_score, stats
 from quillon.operators.dbscan import dbscan
 from quillon.runtime import cut, table
 from quillon.sources import formats, sinks, trace_text
@@ -66,9 +66,8 @@ def log(spark: SparkSession, folder: str) -> DataFrame:
 
 def states(spark: SparkSession, folder: str) -> DataFrame:
     """Intervals between neighbouring `view` events of a thread; every other one is running."""
-    own = Window.partitionBy("task", "thread").orderBy("ts", "line")
-    seen = log(spark, folder).where(F.col("event_type") == CODES["view"])
-    return seen.select("task", "thread", F.col("ts").alias("begin"), F.lead("ts").over(own).alias("end"), "line", (F.col("line") % 2).cast("int").alias("state")).where("end is not null")
+    seen = ranks.neighbours(log(spark, folder).where(F.col("event_type") == CODES["view"]), ["task", "thread"], ["ts", "line"], ["ts"])
+    return seen.select("task", "thread", F.col("ts").alias("begin"), F.col("_next.ts").alias("end"), "line", (F.col("line") % 2).cast("int").alias("state")).where("end is not null")
 
 
 _S = f"{_L}, s0 AS (SELECT * FROM (SELECT task, thread, ts AS \"begin\", lead(ts) OVER (PARTITION BY task, thread ORDER BY ts, line) AS \"end\", line, CAST(line % 2 AS INTEGER) AS state FROM l0 WHERE event_type = {CODES['view']}) WHERE \"end\" IS NOT NULL)"

@@ -11,7 +11,7 @@ from quillon.functions import metrics as M
 from quillon.operators import assembly, centroid, compare, hulls, neighbors, normalize, refine, sequence_score, stats
 from quillon.operators.components import components
 from quillon.operators.dbscan import dbscan
-from quillon.operators.ranks import ranked
+from quillon.operators.ranks import neighbours, ranked
 from quillon.plans.pipeline import Analysis
 from quillon.sources import formats, sinks, trace_text
 
@@ -72,6 +72,16 @@ def test_ranks_and_sampling(spark, split):
     assert normalize.stride_sample(df, 5000).count() == 2000
 
 
+def test_neighbouring_rows_over_cut_partitions(spark, split):
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 1, 1, None, 2]), t, i) for i, t in enumerate(rng.sample(range(10000), 1500))]
+    got = {r["i"]: (r["_prev"] and r["_prev"]["i"], r["_next"] and r["_next"]["i"]) for r in neighbours(spark.createDataFrame(rows, "k int, t long, i int"), ["k"], ["t"], ["i"]).collect()}
+    for k in (1, 2, None):
+        own = [i for _, i in sorted((r[1], r[2]) for r in rows if r[0] == k)]
+        assert [got[i] for i in own] == list(zip([None, *own], [*own[1:], None]))
+    assert neighbours(spark.createDataFrame([], "k int, t long, i int"), ["k"], ["t"], ["i"]).count() == 0
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(1, 0, 5, None), (2, 6, 7, 1.0), (3, 6, 3, None), (4, 7, 10, 2.0), (5, None, None, None)], "instance long, cluster_id int, duration long, x double")
     s = stats.cluster_stats(df, metrics=["x"])
