@@ -208,6 +208,20 @@ def test_sources_that_cross_partitions(spark, split):
     assert got == want
 
 
+def test_two_spikes_of_like_height_are_no_level(spark):
+    """Alone they hide each other and the larger one; a level of two readings that another source has too is ordinary."""
+    def found(rows):
+        bursts = spark.createDataFrame(rows, "instance long, trace_id long, task_id long, thread_id long, begin_time long, duration long")
+        events = spark.createDataFrame([], "instance long, event_type long, event_value long")
+        traces = spark.createDataFrame([(1, 2000, 4)], "trace_id long, clock_mhz int, issue_width int")
+        return {r["instance"] for r in spikes.implausible(bursts, events, traces).collect() if r["fault"] == "spike"}
+
+    rows = [(th * 100 + i, 1, 0, th, i, 1000 + (i * 37 + th * 11) % 200) for th in range(4) for i in range(60)]
+    put = lambda high: [(*r[:5], high.get(r[0], r[5])) for r in rows]
+    assert found(put({110: 90_000, 130: 100_000, 150: 300_000})) == {110, 130, 150}
+    assert found(put({110: 90_000, 130: 100_000, 210: 95_000, 240: 92_000, 150: 900_000})) == {150}
+
+
 def test_implausible_of_nulls_and_empty_tables(spark):
     bursts, events, traces = _tables(spark)
     assert spikes.implausible(bursts.limit(0), events.limit(0), traces.limit(0)).count() == 0
