@@ -444,10 +444,10 @@ def sequence_letters(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def aligned_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Progressive alignment of the threads of every trace, in windows of 64 positions, then scores."""
+    """Progressive alignment of the threads' whole sequences of every trace, then scores."""
     own = cut(bursts(spark, folder).where("cluster_id >= 5").select("trace_id", "task_id", "thread_id", "instance", "cluster_id", "duration"), "own")
     weights = own.groupBy("trace_id", "cluster_id").agg(F.sum("duration").alias("d")).withColumn("weight", F.coalesce(F.col("d") / F.sum("d").over(Window.partitionBy("trace_id")), F.lit(0.0)))
-    aligned = cut(sequence_score.aligned_sequences(own.drop("duration"), weights.select("trace_id", "cluster_id", "weight"), most=64), "aligned")
+    aligned = cut(sequence_score.aligned_sequences(own.drop("duration"), weights.select("trace_id", "cluster_id", "weight")), "aligned")
     threads = own.select("trace_id", "task_id", "thread_id").distinct().groupBy("trace_id").agg(F.count(F.lit(1)).alias("threads"))
     per = aligned.where("cluster_id is not null").groupBy("trace_id", "window", "col", "cluster_id").agg(F.count(F.lit(1)).alias("n")).join(threads, "trace_id")
     return per.groupBy("trace_id", "cluster_id").agg(F.round(F.avg(F.col("n") / F.col("threads")), 6).alias("score"), F.sum("n").alias("occurrences"))

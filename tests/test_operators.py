@@ -239,6 +239,20 @@ def test_alignment_and_scores(spark):
     assert lines[0] == "1,-,3,2" and lines[1] == "1,2,3,2"
 
 
+def test_whole_sequences_are_aligned(spark, tmp_path):
+    """A thread that lacks the first 30 of 100 bursts is shifted as a whole: columns of both threads for its 70, of one for 30."""
+    from quillon.plans import reference
+
+    ids = [6 + p * p % 11 * (p % 7 + 1) % 23 for p in range(100)]
+    rows = [(th * 1000 + i, 1, 0, th, c, 10) for th in range(2) for i, c in enumerate(ids) if not th or i >= 30]
+    own = spark.createDataFrame(rows, "instance long, trace_id long, task_id long, thread_id long, cluster_id int, duration long")
+    own.withColumns({c: F.lit(0) for c in reference.COLUMNS if c not in own.columns}).write.parquet(str(tmp_path / "bursts.parquet"))
+    got = {r["cluster_id"]: (r["score"], r["occurrences"]) for r in reference.aligned_scores(spark, str(tmp_path)).collect()}
+    for c in set(ids):
+        first, rest = ids[:30].count(c), ids[30:].count(c)
+        assert got[c] == (pytest.approx((first / 2 + rest) / (first + rest), abs=1e-6), first + 2 * rest)
+
+
 def test_hulls(spark):
     square = np.array([[0, 0], [1, 0], [1, 1], [0, 1], [0.5, 0.5], [0.5, 0]], float)
     assert sorted(hulls.hull(square).tolist()) == [0, 1, 2, 3]
