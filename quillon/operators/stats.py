@@ -55,3 +55,9 @@ def transposed(stats: DataFrame, cluster: str, rows: Sequence[str], clusters: Se
     long = stats.select(cluster, F.inline(F.array(*[F.struct(F.lit(r).alias("statistic"), F.col(r).cast("double").alias("v")) for r in rows])))
     wide = long.groupBy("statistic").pivot(cluster, list(clusters)).agg(F.first("v", ignorenulls=True))
     return wide.select("statistic", *[F.col(str(c)).alias("NOISE" if c == noise else f"Cluster {c}") for c in clusters])
+
+
+def long_form(stats: DataFrame, cluster: str, rows: Sequence[str], noise: int = NOISE) -> DataFrame:
+    """K2 without a bound on its columns: (statistic, cluster, v) for every cluster of ``stats``."""
+    name = F.when(F.col(cluster) == noise, "NOISE").otherwise(F.concat(F.lit("Cluster "), F.col(cluster).cast("string")))
+    return stats.select(name.alias("cluster"), F.inline(F.array(*[F.struct(F.lit(r).alias("statistic"), F.col(r).cast("double").alias("v")) for r in rows]))).select("statistic", "cluster", "v")

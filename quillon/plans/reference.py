@@ -213,6 +213,17 @@ def clusters_info(spark: SparkSession, folder: str) -> DataFrame:
     return stats.transposed(_ranked(spark, folder), "ranked_id", ["density", "total_duration"], [0, 1, 2, 3])
 
 
+@query(f"""WITH {_RANK}, x AS (SELECT cluster_id, avg(d_ipc) AS ipc FROM b0 GROUP BY cluster_id), k AS (SELECT r.ranked_id, t.density, t.total_duration, t.av, t.l1, x.ipc, (SELECT sum(total_duration) FROM r) AS whole FROM r JOIN t USING (cluster_id) JOIN x USING (cluster_id)),
+    u AS (SELECT ranked_id, unnest(['density', 'total_duration', 'avg_duration', 'share', 'avg_x_papi_l1_dcm', 'avg_d_ipc']) AS statistic, unnest([density::DOUBLE, total_duration::DOUBLE, av::DOUBLE, total_duration::DOUBLE / whole::DOUBLE, l1::DOUBLE, ipc::DOUBLE]) AS v FROM k)
+    SELECT statistic, CASE WHEN ranked_id = 0 THEN 'NOISE' ELSE 'Cluster ' || ranked_id END AS cluster, round(v, 9) AS v FROM u""")
+def clusters_info_all(spark: SparkSession, folder: str) -> DataFrame:
+    """K2 over all ranked clusters and all its statistics, one row per cell; clusters_info has the first columns of the wide form."""
+    means = ["x_papi_l1_dcm", "d_ipc"]
+    own = bursts(spark, folder).where("cluster_id is not null")
+    ranked = stats.rank_clusters(stats.cluster_stats(own, metrics=means), noise=5)
+    return stats.long_form(ranked, "ranked_id", ["density", "total_duration", "avg_duration", "share", *[f"avg_{m}" for m in means]]).withColumn("v", F.round("v", 9))
+
+
 @query(f"""WITH {_C} SELECT 'duration' AS metric, min(duration)::DOUBLE AS least, (SELECT min(instance) FROM c0 WHERE duration = (SELECT min(duration) FROM c0)) AS least_instance, max(duration)::DOUBLE AS largest,
     (SELECT min(instance) FROM c0 WHERE duration = (SELECT max(duration) FROM c0)) AS largest_instance FROM c0
     UNION ALL SELECT 'a', min(a)::DOUBLE, (SELECT min(instance) FROM c0 WHERE a = (SELECT min(a) FROM c0)), max(a)::DOUBLE, (SELECT min(instance) FROM c0 WHERE a = (SELECT max(a) FROM c0)) FROM c0""")

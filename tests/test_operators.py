@@ -95,6 +95,21 @@ def test_statistics(spark):
 # ---------------------------------------------------------------- assembly
 
 
+def test_table_of_all_clusters(spark):
+    """Every ranked cluster and every statistic of K2, as its SQL has them."""
+    import duckdb
+
+    from quillon.plans import reference
+
+    folder = "/root/testdata/sf0.001"
+    got = {(r["statistic"], r["cluster"]): float("nan") if r["v"] is None else r["v"] for r in reference.clusters_info_all(spark, folder).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW bursts AS SELECT * FROM '{folder}/bursts.parquet'")
+    want = {(s, c): float("nan") if v is None else float(v) for s, c, v in con.execute(reference.SQL["clusters_info_all"]).fetchall()}
+    ids = reference.rank_clusters(spark, folder).count()
+    assert got == pytest.approx(want, rel=1e-9, nan_ok=True) and len(got) == 6 * ids and ids > 4
+
+
 def _log(spark, states, events):
     s = spark.createDataFrame(states, "task long, thread long, begin long, end long, line long, state int")
     e = spark.createDataFrame(events, "task long, thread long, ts long, line long, ordinal int, event_type long, event_value long")
