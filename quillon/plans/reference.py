@@ -367,7 +367,7 @@ def dbscan_part(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def dbscan_bursts(spark: SparkSession, folder: str) -> DataFrame:
     """Complete bursts by logarithms of instructions and of their ratio to cycles, all traces together."""
-    own = counters(spark, folder).where("a > 0 and b > 0").select(F.col("instance").alias("id"), F.round(F.log(F.col("a").cast("double")), 2).alias("x"), F.round(F.col("a") / F.col("b"), 2).alias("y"))
+    own = counters(spark, folder).where("a > 0 and b > 0").select(F.col("instance").alias("id"), F.log(F.col("a").cast("double")).alias("x"), (F.col("a") / F.col("b")).alias("y"))
     return dbscan(own, ["x", "y"], 0.02, 20)
 
 

@@ -186,6 +186,19 @@ def test_density_against_the_scan(spark):
         assert [got[i] for i in range(len(x))] == sequential(x, 0.08, 4).tolist(), seed
 
 
+def test_bursts_are_clustered_by_their_own_values(spark, tmp_path):
+    """Ratios of 0.0151 and 0.0449 lie further apart than eps, though not if they are rounded to 0.02 and 0.04."""
+    from quillon.plans import reference
+
+    ids = spark.range(20).withColumnRenamed("id", "instance")
+    b = F.when(F.col("instance") < 10, round(10**9 / 0.0151)).otherwise(round(10**9 / 0.0449))
+    events = ids.select("instance", F.lit(42000050).cast("long").alias("event_type"), F.lit(10**9).cast("long").alias("event_value"))
+    events.unionByName(ids.select("instance", F.lit(42000059).cast("long").alias("event_type"), b.cast("long").alias("event_value"))).write.parquet(str(tmp_path / "burst_events.parquet"))
+    ids.withColumns({c: F.lit(0) for c in reference.COLUMNS}).write.parquet(str(tmp_path / "bursts.parquet"))
+    got = [r["cluster_id"] for r in reference.dbscan_bursts(spark, str(tmp_path)).collect()]
+    assert got == [0] * 20
+
+
 def test_density_of_copies_nulls_and_empty(spark):
     df = spark.createDataFrame([(i, 1.0, 1.0) for i in range(50)] + [(90, 5.0, 5.0), (91, None, 1.0)], "id long, x double, y double")
     got = {r[0]: r[1] for r in dbscan(df, ["x", "y"], 0.1, 5).collect()}
