@@ -28,9 +28,14 @@ def as_letters(sequence: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     return sequence.withColumn("letter", F.when(c.isNull(), "-").when(c.between(0, len(LETTERS) - 1), F.substring(F.lit(LETTERS), c + 1, F.lit(1))).otherwise("X"))
 
 
+def _column(aligned: DataFrame) -> list[str]:
+    """What tells columns apart: where sequences are cut into windows, each numbers its own from 0."""
+    return ["window", "col"] if "window" in aligned.columns else ["col"]
+
+
 def column_occupancy(aligned: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """A10: rows of each cluster in each aligned column, gaps left out."""
-    return aligned.where(F.col(cluster).isNotNull()).groupBy("col", cluster).agg(F.count(F.lit(1)).alias("occurrences"))
+    return aligned.where(F.col(cluster).isNotNull()).groupBy(*_column(aligned), cluster).agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 def score_by_cluster(aligned: DataFrame, weights: DataFrame, threads: int, cluster: str = "cluster_id") -> DataFrame:
@@ -41,7 +46,7 @@ def score_by_cluster(aligned: DataFrame, weights: DataFrame, threads: int, clust
 
 def identical_columns(aligned: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """Sets of clusters (of two or more) that occupy the same aligned columns; cluster and the least of its set."""
-    sets = aligned.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.sort_array(F.collect_set("col")).alias("_cols"))
+    sets = aligned.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.sort_array(F.collect_set(F.struct(*_column(aligned)))).alias("_cols"))
     same = sets.groupBy("_cols").agg(F.min(cluster).alias("merged"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     return sets.join(same, "_cols").select(cluster, "merged")
 
@@ -204,5 +209,5 @@ def aligned_sequences(bursts: DataFrame, weights: DataFrame, group: str = "trace
 
 def sequence_lines(aligned: DataFrame, keys: Sequence[str] = ("task_id", "thread_id"), cluster: str = "cluster_id") -> DataFrame:
     """K9: one row per thread with its ids or - by column."""
-    own = F.sort_array(F.collect_list(F.struct("col", F.coalesce(F.col(cluster).cast("string"), F.lit("-")).alias("v"))))
+    own = F.sort_array(F.collect_list(F.struct(*_column(aligned), F.coalesce(F.col(cluster).cast("string"), F.lit("-")).alias("v"))))
     return aligned.groupBy(*keys).agg(F.array_join(F.transform(own, lambda x: x["v"]), ",").alias("sequence"))

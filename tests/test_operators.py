@@ -281,6 +281,19 @@ def test_whole_sequences_are_aligned(spark, tmp_path):
         assert got[c] == (pytest.approx((first / 2 + rest) / (first + rest), abs=1e-6), first + 2 * rest)
 
 
+def test_columns_of_several_windows_stay_apart(spark):
+    """A thread of 600 bursts: no share of threads above 1, neither over whole sequences nor over windows."""
+    own = spark.createDataFrame([(1, 0, th, i, 1 + (i >= 512), 10) for th in range(2) for i in range(600)], "trace_id long, task_id long, thread_id long, instance long, cluster_id int, duration long")
+    weights = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.1)], "trace_id long, cluster_id int, weight double")
+    for most, windows in ((None, 1), (512, 2), (300, 2)):
+        aligned = sequence_score.aligned_sequences(own, weights, most=most).cache()
+        assert aligned.select("window").distinct().count() == windows
+        got = {r["cluster_id"]: (r["score"], r["occurrences"]) for r in sequence_score.score_by_cluster(aligned, weights.drop("trace_id"), 2).collect()}
+        assert got == {1: (1.0, 1024), 2: (1.0, 176)}
+        assert {r["sequence"] for r in sequence_score.sequence_lines(aligned).collect()} == {",".join(["1"] * 512 + ["2"] * 88)}
+        assert sequence_score.identical_columns(aligned).count() == 0
+
+
 def test_hulls(spark):
     square = np.array([[0, 0], [1, 0], [1, 1], [0, 1], [0.5, 0.5], [0.5, 0]], float)
     assert sorted(hulls.hull(square).tolist()) == [0, 1, 2, 3]
