@@ -13,6 +13,7 @@ from quillon.operators.neighbors import nearest_label
 from quillon.runtime import cut
 
 Score = Callable[[DataFrame], dict[int, tuple[float, int]]]
+Merge = Callable[[DataFrame], dict[int, int]]
 
 
 @dataclass
@@ -40,12 +41,13 @@ def _summary(labels: DataFrame) -> dict[int, tuple[int, int]]:
     return {r[0]: (r[1], r[2] or 0) for r in labels.where("cluster_id > 0").groupBy("cluster_id").agg(F.count(F.lit(1)), F.sum("duration")).collect()}
 
 
-def refine_aggregative(points: DataFrame, dims: Sequence[str], ladder: Sequence[float], min_points: int, score: Score) -> tuple[DataFrame, list[Node]]:
+def refine_aggregative(points: DataFrame, dims: Sequence[str], ladder: Sequence[float], min_points: int, score: Score, merge: Merge | None = None) -> tuple[DataFrame, list[Node]]:
     """Density clustering at rising eps; clusters with a score below 1, and noise, are clustered again at the next.
 
     A new cluster takes the id of its lowest parent not yet taken, else a new one. Stops when nothing is left
     to cluster. ``points`` has id, dims and duration; ``score`` gives (score, occurrences) per cluster of
-    (id, cluster_id).
+    (id, cluster_id). ``merge`` gives for the final labels the clusters that occupy the same columns (C24), each
+    with the id it takes; the tree keeps them as they were found.
     """
     nodes: list[Node] = []
     labels = cut(points.select("id", F.lit(0).alias("cluster_id")), "labels")
@@ -74,6 +76,9 @@ def refine_aggregative(points: DataFrame, dims: Sequence[str], ladder: Sequence[
             nodes.append(Node(new, level, value, occurrences, rows, time, parents, value >= 1))
             if value >= 1:
                 done.add(new)
+    names = {k: v for k, v in merge(labels).items() if k != v} if merge else {}
+    if names:
+        labels = cut(labels.select("id", F.coalesce(*[F.when(F.col("cluster_id") == k, v) for k, v in names.items()], "cluster_id").alias("cluster_id")), "labels")
     return labels, nodes
 
 

@@ -14,7 +14,7 @@ from quillon.operators.dbscan import dbscan
 from quillon.operators.neighbors import k_distances, nearest_label
 from quillon.operators.normalize import range_normalize, stride_sample
 from quillon.operators.ranks import ranked
-from quillon.operators.sequence_score import aligned_sequences, score_by_cluster
+from quillon.operators.sequence_score import aligned_sequences, identical_columns, score_by_cluster
 from quillon.operators.stats import cluster_stats, rank_clusters
 from quillon.runtime import cut, dim_join
 from quillon.sources import sinks, trace_text
@@ -115,12 +115,17 @@ class Analysis:
         points = bursts.where("burst_type = 0").select(F.col("instance").alias("id"), *self.dims)
         return k_distances(points, self.dims, k_begin, k_end)
 
-    def score(self, bursts: DataFrame, group: str = "trace_id") -> DataFrame:
-        """Scores of the clusters of one trace by the alignment of its threads."""
+    def _aligned(self, bursts: DataFrame, group: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Complete bursts, their clusters' shares of time, and the aligned sequences."""
         own = bursts.where("burst_type = 0")
         own = own if group in own.columns else own.withColumn(group, F.lit(1).cast("long"))
         shares = cluster_stats(own).select("cluster_id", F.col("share").alias("weight"))
         aligned = cut(aligned_sequences(own, shares.withColumn(group, F.lit(1).cast("long")), group), "aligned")
+        return own, shares, aligned
+
+    def score(self, bursts: DataFrame, group: str = "trace_id") -> DataFrame:
+        """Scores of the clusters of one trace by the alignment of its threads."""
+        own, shares, aligned = self._aligned(bursts, group)
         threads = own.select("task_id", "thread_id").distinct().count()
         return score_by_cluster(aligned, shares, max(1, threads))
 
@@ -128,12 +133,19 @@ class Analysis:
         own = cut(bursts.where("burst_type = 0"), "refined")
         points = own.select(F.col("instance").alias("id"), "duration", *self.dims)
 
+        def labelled(labels: DataFrame) -> DataFrame:
+            return own.drop("cluster_id").join(labels.withColumnRenamed("id", "instance"), "instance").withColumn("trace_id", F.lit(1).cast("long"))
+
         def score(labels: DataFrame) -> dict[int, tuple[float, int]]:
-            labelled = own.drop("cluster_id").join(labels.withColumnRenamed("id", "instance"), "instance")
-            return {r["cluster_id"]: (r["score"], r["occurrences"]) for r in self.score(labelled.withColumn("trace_id", F.lit(1).cast("long"))).collect()}  # one row per cluster
+            return {r["cluster_id"]: (r["score"], r["occurrences"]) for r in self.score(labelled(labels)).collect()}  # one row per cluster
+
+        def merge(labels: DataFrame) -> dict[int, int]:
+            aligned = self._aligned(labelled(labels), "trace_id")[2]
+            return {r["cluster_id"]: r["merged"] for r in identical_columns(aligned.where("cluster_id > 0")).collect()}  # one row per merged cluster
 
-        run = refine.refine_divisive if divisive else refine.refine_aggregative
-        return run(points, self.dims, ladder, min_points, score)
+        if divisive:
+            return refine.refine_divisive(points, self.dims, ladder, min_points, score)
+        return refine.refine_aggregative(points, self.dims, ladder, min_points, score, merge)
 
     def hull_model(self, bursts: DataFrame) -> DataFrame:
         return hulls.hulls(bursts.where("burst_type = 0"), *self.dims[:2])

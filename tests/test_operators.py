@@ -343,6 +343,18 @@ def test_refinement(spark):
     assert refine.reclassify_noise(df, noise, ["x", "y"], 0.05).where("cluster_id = 0").count() == 0
 
 
+def test_refinement_merges_clusters_of_the_same_columns(spark):
+    """Two threads run one phase at values far apart: two clusters at every eps, one after the merge; noise stays out."""
+    run = Analysis.__new__(Analysis)
+    run.dims = ["n_x"]
+    rows = [(2 * i + th, 0, th, 10, 0, (5.0 if i % 2 else th * 1.0) + 0.001 * i) for th in range(2) for i in range(20)]
+    df = spark.createDataFrame(rows, "instance long, task_id long, thread_id long, duration long, burst_type int, n_x double")
+    labels, nodes = run.refine(df, [0.1, 0.2], 4)
+    got = {r["id"]: r["cluster_id"] for r in labels.collect()}
+    assert {n.id for n in nodes} == {1, 2, 3} and len(got) == 40
+    assert len({got[2 * i + th] for th in range(2) for i in range(0, 20, 2)}) == 1 and len(set(got.values())) == 2
+
+
 # ---------------------------------------------------------------- text
 
 
