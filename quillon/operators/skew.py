@@ -17,9 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def range_split(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Range partitions over (keys, order), sorted inside; heavy keys are split at sampled quantiles."""
+def range_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None, most: int | None = None) -> DataFrame:
+    """Range partitions over (keys, order), sorted inside; heavy keys are split at sampled quantiles.
+
+    Their number is the session's, and AQE joins small ones; where that leaves more than ``most`` of ``rows`` in one, more are made.
+    """
     by = [*keys, *order]
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows and most and rows > most * usual:
+        return df.repartitionByRange(-(-rows // most), *by).sortWithinPartitions(*by)
     return df.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
