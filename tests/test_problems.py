@@ -255,9 +255,9 @@ def test_recall_and_precision_of_injected_spikes():
 
 
 def test_two_spikes_of_like_height_are_no_level():
-    own = [1000 + (i * 37) % 200 for i in range(60)]
-    own[10], own[30], own[50] = 90_000, 91_000, 300_000
-    assert sorted(spikes.judge_whole(_piece([own, own[::-1]]))["instance"].tolist()) == [10, 30, 50, 10_009, 10_029, 10_049]
+    own = [[1000, 8000, 23_000, 70_000][i % 4] + (i * 37) % 200 for i in range(120)]
+    own[10], own[33], own[60] = 3_000_000, 3_060_000, 90_000_000
+    assert sorted(spikes.judge_whole(_piece([own, own[::-1]]))["instance"].tolist()) == [10, 33, 60, 10_059, 10_086, 10_109]
 
 
 def test_implausible_of_nulls_and_empty_tables(spark):
