@@ -1,15 +1,17 @@
 """Filling fixed-capacity containers with texts (problem 7).
 
 Texts are measured in tokens. Each full capacity of a longer text is a container of its own, its rest an item;
-no other text is split. Items are dealt to shards by hash, each of about SHARD_ITEMS items. A shard holds a BM25
-inverted index of its texts. Its longest unused text is the seed of a container; the index returns unused
-neighbours of the seed, and as long as something fits, the container takes the longest fitting length there is,
-of the items about that long the one most like the seed. Containers with room left are then merged across shards.
+no other text is split. Items are dealt to shards by content: each text draws two of its tokens, with chances by
+their BM25 weights and the same dice for all texts, so that texts alike in their telling tokens draw the same ones
+and lie in one shard. A shard holds a BM25 inverted index of its texts. Its longest unused text is the seed of a
+container; all its tokens are looked up, the index returns the NEIGHBOURS best unused texts that still fit, and the
+longest of them is taken, until nothing fits. Containers with room left are then merged across shards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +20,14 @@ from pyspark.sql import functions as F
 
 from quillon.llm.tokens import TOKENIZERS, build_lexicon, encoder, publish
 from quillon.llm.words import slices
-from quillon.runtime import cut
+from quillon.runtime import cut, dim_join
 
 CAPACITY = 2048
-SHARD_ITEMS = 2000
-QUERY_TERMS = 24  #: rarest terms of a seed that are looked up; they order neighbours and exclude none
-SLACK = 12  #: lengths that count as equally good for filling
+SHARD_ITEMS = 1000  #: about so many items make a shard; larger ones are split
+NEIGHBOURS = 16  #: of so many best neighbours that fit the longest is taken
 K1, B = 1.2, 0.75
 ROOM = 0.95  #: containers filled less than this are merged across shards
+GROUP = 8  #: shards whose containers with room are merged together
 ITEMS = "size int, terms array<int>, counts array<int>"
 
 
@@ -51,8 +53,89 @@ def measured(docs: DataFrame, folder: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, {ITEMS}")
 
 
+@dataclass
+class Statistics:
+    """Number and mean length of all texts, and the weight of each token by the number of texts that hold it (an array over the vocabulary)."""
+
+    texts: int
+    mean: float
+    idf: np.ndarray
+
+    @classmethod
+    def of(cls, frequency: np.ndarray, texts: int, mean: float) -> Statistics:
+        return cls(texts, mean, np.log(1 + (texts - frequency + 0.5) / (frequency + 0.5)))
+
+    def weights(self, term: np.ndarray, count: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """BM25 weight of each token in its text; ``length`` is that of its text."""
+        return count * (K1 + 1) / (count + K1 * (1 - B + B * length / self.mean)) * self.idf[term]
+
+
+def statistics(items: DataFrame) -> Statistics:
+    """Over all texts."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
+        for batch in batches:
+            own = np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(seen))
+            own[:len(seen)] += seen
+            seen = own
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["term", "n"])
+
+    rows = items.select("terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
+    term, n = (rows.column(c).to_numpy() for c in ("term", "n"))
+    one = items.agg(F.count(F.lit(1)), F.avg("size")).first()
+    frequency = np.zeros(int(term.max(initial=-1)) + 1)
+    frequency[term] = n
+    return Statistics.of(frequency, one[0], float(one[1] or 1))
+
+
+def _hash(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def drawn(term: np.ndarray, weight: np.ndarray, first: np.ndarray, dice: int) -> np.ndarray:
+    """One token of each text, by weight: that of the least exponential waiting time, whose chance is the token's own in all texts."""
+    u = ((_hash(term.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(dice)) >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)
+    wait = -np.log(u) / weight
+    owner = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(term)]))
+    hit = np.flatnonzero(wait == np.minimum.reduceat(wait, first)[owner])
+    return term[hit[np.unique(owner[hit], return_index=True)[1]]]
+
+
+def _drawn_of(batch: pa.RecordBatch, known: Statistics) -> tuple[np.ndarray, np.ndarray]:
+    terms, counts = (batch.column(c) for c in ("terms", "counts"))
+    edges = terms.offsets.to_numpy()
+    term, count = terms.flatten().to_numpy(), counts.flatten().to_numpy()
+    weight = known.weights(term, count, np.repeat(batch.column("size").to_numpy(), np.diff(edges)))
+    return tuple(drawn(term, weight, edges[:-1] - edges[0], d) for d in (1, 2)) if len(edges) > 1 else (np.zeros(0, np.int64),) * 2
+
+
+class Shards:
+    """The shards of each first token: neighbouring tokens of few texts share one, those of many have several by their second token."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        """``counts``: texts per first token, an array over the vocabulary."""
+        self.parts = np.maximum(1, -(-counts // SHARD_ITEMS))
+        self.base = np.zeros(len(counts), np.int64)
+        shard, held = 0, 0
+        for t in np.flatnonzero(counts).tolist():
+            n = int(counts[t])
+            if held and held + n > SHARD_ITEMS:
+                shard, held = shard + 1, 0
+            self.base[t] = shard
+            held += n
+            if self.parts[t] > 1:
+                shard, held = shard + int(self.parts[t]), 0
+        self.number = shard + 1
+
+    def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return self.base[first] + (_hash(second.astype(np.uint64)) % self.parts[first].astype(np.uint64)).astype(np.int64)
+
+
 class Unused:
-    """Unused items by length; ``fit`` finds the longest one of at most a given length."""
+    """Unused items by length; ``fits`` tells whether one of at most a given length is left."""
 
     def __init__(self, size: np.ndarray) -> None:
         self.order = np.argsort(size, kind="stable")
@@ -73,49 +156,37 @@ class Unused:
         p = int(self.place[item]) + 1
         self.below[p] = p - 1
 
-    def fit(self, most: int) -> list[int]:
-        """Unused items of about the longest length that fits."""
+    def fit(self, most: int) -> int:
+        """The longest unused item of at most this length, -1 if there is none."""
         at = self.find(int(np.searchsorted(self.sorted, most, "right")))
-        found = []
-        if at:
-            least = self.sorted[at - 1] - SLACK
-            while at and self.sorted[at - 1] >= least:
-                found.append(int(self.order[at - 1]))
-                at = self.find(at - 1)
-        return found
+        return int(self.order[at - 1]) if at else -1
 
 
 class Index:
-    """BM25 postings of a shard's texts."""
+    """BM25 postings of a shard's texts, with the statistics of all texts."""
 
-    def __init__(self, terms: pa.Array, counts: pa.Array, length: np.ndarray) -> None:
+    def __init__(self, terms: pa.Array, counts: pa.Array, length: np.ndarray, known: Statistics) -> None:
         n = len(length)
         size = np.diff(terms.offsets.to_numpy())
         owner = np.repeat(np.arange(n), size)
-        term, tf = terms.flatten().to_numpy(), counts.flatten().to_numpy().astype(np.float32)
+        term, count = terms.flatten().to_numpy(), counts.flatten().to_numpy()
+        weight = known.weights(term, count, length[owner])
         order = np.argsort(term, kind="stable")
-        self.kinds, first, df = np.unique(term[order], return_index=True, return_counts=True)
-        self.first = np.r_[first, len(term)]
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        norm = K1 * (1 - B + B * length / max(length.mean(), 1))
-        weight = tf * (K1 + 1) / (tf + norm[owner])
-        self.owner, self.weight = owner[order], (weight[order] * np.repeat(idf, df)).astype(np.float32)
-        self.idf, self.n = idf, n
-        self.terms, self.edges = np.searchsorted(self.kinds, term), np.r_[0, np.cumsum(size)]
-
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Score of every text of the shard for the rarest terms of the seed."""
+        kinds, first = np.unique(term[order], return_index=True)
+        self.first, self.owner, self.weight, self.n = np.r_[first, len(term)], owner[order], weight[order], n
+        self.terms, self.edges = np.searchsorted(kinds, term), np.r_[0, np.cumsum(size)]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Score of every text of the shard for all tokens of the seed."""
         own = self.terms[self.edges[seed]:self.edges[seed + 1]]
-        if len(own) > QUERY_TERMS:
-            own = own[np.argpartition(-self.idf[own], QUERY_TERMS)[:QUERY_TERMS]]
-        at = [slice(self.first[t], self.first[t + 1]) for t in own.tolist()]
+        at = [slice(a, b) for a, b in zip(self.first[own].tolist(), self.first[own + 1].tolist())]
         if not at:
             return np.zeros(self.n)
         return np.bincount(np.concatenate([self.owner[s] for s in at]), np.concatenate([self.weight[s] for s in at]), self.n)
 
 
 def fill(size: np.ndarray, index: Index | None) -> tuple[np.ndarray, np.ndarray]:
-    """Container number and place in it of each item."""
+    """Container number and place in it of each item; without an index always the longest that fits is taken."""
     unused = Unused(size)
     box, place = np.full(len(size), -1), np.zeros(len(size), np.int64)
     number = 0
@@ -125,12 +196,14 @@ def fill(size: np.ndarray, index: Index | None) -> tuple[np.ndarray, np.ndarray]
         box[seed] = number
         unused.take(seed)
         room, at, score = CAPACITY - int(size[seed]), 1, None
-        while found := unused.fit(room):
-            if index is not None and len(found) > 1:
-                score = index.neighbours(seed) if score is None else score
-                pick = max(found, key=lambda i: (score[i], size[i], -i))
-            else:
-                pick = found[0]
+        while room > 0 and (pick := unused.fit(room)) >= 0:
+            if index is not None:
+                score = index.scores(seed) if score is None else score
+                near = np.flatnonzero((box < 0) & (size <= room))
+                if len(near) > NEIGHBOURS:
+                    worst = np.partition(score[near], -NEIGHBOURS)[-NEIGHBOURS]
+                    near = near[score[near] >= worst]
+                pick = int(near[np.lexsort((near, -score[near], -size[near]))[0]])
             box[pick], place[pick] = number, at
             unused.take(pick)
             room, at = room - int(size[pick]), at + 1
@@ -138,23 +211,58 @@ def fill(size: np.ndarray, index: Index | None) -> tuple[np.ndarray, np.ndarray]
     return box, place
 
 
-def _pack_shard(t: pa.Table) -> pa.Table:
-    t = t.sort_by("doc_id").combine_chunks()
-    size = t.column("rest").to_numpy().astype(np.int64)
-    one = lambda c: t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c)
-    lists = [one(c) for c in ("terms", "counts")]
-    lists = [pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in lists]
-    box, place = fill(size, Index(*lists, t.column("size").to_numpy().astype(np.float64)))
-    return pa.table({"doc_id": t.column("doc_id"), "shard": t.column("shard"), "box": pa.array(box), "place": pa.array(place), "rest": pa.array(size.astype(np.int32))})
+def _pack_shard(known: Statistics):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("doc_id").combine_chunks()
+        size = t.column("rest").to_numpy().astype(np.int64)
+        lists = [t.column(c).combine_chunks() for c in ("terms", "counts")]
+        lists = [pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in lists]
+        box, place = fill(size, Index(*lists, t.column("size").to_numpy().astype(np.float64), known))
+        return pa.table({"doc_id": t.column("doc_id"), "shard": t.column("shard"), "part": t.column("part"), "box": pa.array(box), "place": pa.array(place), "rest": pa.array(size.astype(np.int32))})
+
+    return run
 
 
 def _merge(t: pa.Table) -> pa.Table:
-    t = t.sort_by([("shard", "ascending"), ("box", "ascending")])
+    t = t.sort_by([("shard", "ascending"), ("part", "ascending"), ("box", "ascending")])
     group, _ = fill(t.column("used").to_numpy().astype(np.int64), None)
     first = np.full(int(group.max()) + 1, -1) if len(group) else group
     first[group[::-1]] = np.arange(len(group))[::-1]
     to = pa.array(first[group])
-    return pa.table({"shard": t.column("shard"), "box": t.column("box"), "to_shard": t.column("shard").take(to), "to_box": t.column("box").take(to)})
+    names = ("shard", "part", "box")
+    return pa.table({n: t.column(n) for n in names} | {f"to_{n}": t.column(n).take(to) for n in names})
+
+
+def dealt(rests: DataFrame, known: Statistics) -> tuple[DataFrame, int]:
+    """The items with their shard and part, and the number of shards.
+
+    Counts of the first tokens (at most the vocabulary) come to the driver. A shard that is too large all the
+    same, as of copies, is split by hash.
+    """
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs, n = np.unique(np.stack(_drawn_of(batch, known), 1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i].astype(np.int64)) for i in (0, 1)] + [pa.array(n)], ["one", "two", "n"])
+
+    pairs = cut(rests.select("size", "terms", "counts").mapInArrow(draw, "one long, two long, n long").groupBy("one", "two").agg(F.sum("n").alias("n")), "drawn")
+    per = pairs.groupBy("one").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(known.idf) + 1, np.int64)
+    counts[per.column("one").to_numpy()] = per.column("n").to_numpy()
+    shards = Shards(counts)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(shards.of(*(batch.column(i).to_numpy() for i in (0, 1)))), batch.column(2)], ["shard", "n"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards.of(*_drawn_of(batch, known)))], [*batch.schema.names, "shard"])
+
+    sizes = pairs.mapInArrow(number, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n"))
+    parts = sizes.select("shard", F.ceil(F.col("n") / (2 * SHARD_ITEMS)).alias("_parts")).where("_parts > 1")
+    schema = ", ".join([f"{n} {k}" for n, k in rests.dtypes] + ["shard long"])
+    placed = dim_join(rests.mapInArrow(place, schema), parts, ["shard"], "left")
+    return placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), F.coalesce("_parts", F.lit(1)))).drop("_parts"), shards.number
 
 
 def pack(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
@@ -165,23 +273,23 @@ def pack(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     table gives no containers; other columns are ignored.
     """
     items = cut(measured(documents, folder).where("size > 0"), "items")
-    n = items.count()
-    shards = max(1, -(-n // SHARD_ITEMS))
-    rests = items.withColumn("rest", F.expr(f"size % {CAPACITY}")).where("rest > 0")
-    rests = rests.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)))
+    known = statistics(items)
+    rests = items.withColumn("rest", F.expr(f"size % {CAPACITY}")).where("rest > 0").select("doc_id", "size", "rest", "terms", "counts")
+    placed, shards = dealt(rests, known)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    packed = cut(rests.select("doc_id", "size", "rest", "terms", "counts", "shard").groupBy("shard").applyInArrow(
-        _pack_shard, f"doc_id {kind}, shard long, box long, place long, rest int"), "packed")
-    roomy = packed.groupBy("shard", "box").agg(F.sum("rest").cast("long").alias("used")).where(f"used < {int(CAPACITY * ROOM)}")
-    groups = max(1, -(-shards // 8))
-    moves = cut(roomy.withColumn("group", F.pmod(F.xxhash64("shard", "box"), F.lit(groups))).groupBy("group").applyInArrow(
-        lambda t: _merge(t.select(["shard", "box", "used"])), "shard long, box long, to_shard long, to_box long"), "moves")
-    final = packed.join(moves, ["shard", "box"], "left")
-    name = lambda s, b: F.concat_ws("-", F.lit("s"), s, b)
-    whole = name(F.coalesce("to_shard", "shard"), F.coalesce("to_box", "box"))
-    moved = F.when(F.col("to_shard").isNull() | ((F.col("to_shard") == F.col("shard")) & (F.col("to_box") == F.col("box"))), F.lit(0)).otherwise(F.col("box") + 1)
+    packed = cut(placed.repartition(max(shards, 8), "shard", "part").groupBy("shard", "part").applyInArrow(
+        _pack_shard(known), f"doc_id {kind}, shard long, part long, box long, place long, rest int"), "packed")
+    roomy = packed.groupBy("shard", "part", "box").agg(F.sum("rest").cast("long").alias("used")).where(f"used < {int(CAPACITY * ROOM)}")
+    groups = max(1, -(-shards // GROUP))
+    moves = cut(roomy.withColumn("group", F.pmod(F.xxhash64("shard", "part", "box"), F.lit(groups))).groupBy("group").applyInArrow(
+        lambda t: _merge(t.select(["shard", "part", "box", "used"])), "shard long, part long, box long, to_shard long, to_part long, to_box long"), "moves")
+    final = packed.join(moves, ["shard", "part", "box"], "left")
+    names = ("shard", "part", "box")
+    whole = F.concat_ws("-", F.lit("s"), *[F.coalesce(f"to_{n}", n) for n in names])
+    stays = F.struct(*[F.coalesce(f"to_{n}", n) for n in names]) == F.struct(*names)
+    moved = F.when(stays, F.lit(0)).otherwise(F.col("box") + 1)
     sizes = items.select("doc_id", "size").where(f"size > {CAPACITY}")
-    rest = final.select(whole.alias("container"), "doc_id", F.col("rest").alias("length"), F.struct(moved, "shard", "place").alias("order"))
+    rest = final.select(whole.alias("container"), "doc_id", F.col("rest").alias("length"), F.struct(moved, "shard", "part", "place").alias("order"))
     long = sizes.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / CAPACITY).cast("int") - 1)))
     pieces = long.select(F.concat_ws("-", F.lit("d"), "doc_id", "k").alias("container"), "doc_id", (F.col("k") * CAPACITY).alias("start"), F.lit(CAPACITY).alias("length"), F.lit(0).alias("place"))
     exact = items.where(f"size = {CAPACITY}").select(F.concat_ws("-", F.lit("d"), "doc_id", F.lit(0)).alias("container"), "doc_id", F.lit(0).alias("start"), F.lit(CAPACITY).alias("length"), F.lit(0).alias("place"))

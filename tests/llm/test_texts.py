@@ -113,13 +113,73 @@ def test_filling(sizes):
     assert len({*zip(box.tolist(), place.tolist())}) == len(sizes)
 
 
+def _index(texts):
+    lists = pa.array(texts, pa.list_(pa.int32()))
+    known = packing.Statistics.of(np.bincount(np.concatenate(texts)), len(texts), float(np.mean([len(t) for t in texts])))
+    return packing.Index(lists, pa.array([[1] * len(t) for t in texts], pa.list_(pa.int32())), np.array([len(t) for t in texts], float), known), known
+
+
 def test_index_prefers_the_like():
-    texts = [[1, 2, 3, 50], [1, 2, 3, 60], [7, 8, 9, 50], [7, 8, 9, 60]]
-    index = packing.Index(pa.array(texts, pa.list_(pa.int32())), pa.array([[1] * 4] * 4, pa.list_(pa.int32())), np.full(4, 4.0))
-    score = index.neighbours(0)
+    index, _ = _index([[1, 2, 3, 50], [1, 2, 3, 60], [7, 8, 9, 50], [7, 8, 9, 60]])
+    score = index.scores(0)
     assert score[1] > score[2] and score[1] > score[3]
-    box, _ = packing.fill(np.array([1000, 1000, 1000, 1000]), index)
-    assert box[0] == box[1] and box[2] == box[3]
+
+
+def _topics(rng, n, topics=12):
+    """Texts of distinct tokens: common ones, and ones of their topic."""
+    topic = rng.integers(0, topics, n)
+    texts = [np.unique(np.r_[rng.integers(0, 200, 30), 1000 + 100 * t + rng.integers(0, 100, 20)]).tolist() for t in topic]
+    return topic, texts, rng.integers(30, 1500, n).astype(np.int64)
+
+
+def test_retrieval_brings_the_like_together():
+    """Pairs of one topic within containers: far more than by best fit, at about as many containers."""
+    topic, texts, size = _topics(np.random.default_rng(5), 600)
+    index, _ = _index(texts)
+
+    def alike(box):
+        pairs = [(topic[m][:, None] == topic[m][None])[np.triu_indices(len(m), 1)] for m in (np.flatnonzero(box == b) for b in range(box.max() + 1))]
+        return np.concatenate(pairs).mean()
+
+    by_index, plain = packing.fill(size, index)[0], packing.fill(size, None)[0]
+    assert alike(by_index) > 3 * alike(plain)
+    assert by_index.max() + 1 <= 1.03 * -(-size.sum() // packing.CAPACITY)
+
+
+def test_shards_hold_the_like():
+    """The two tokens drawn by a text are those of its copies, and more often those of its topic than of others."""
+    topic, texts, _ = _topics(np.random.default_rng(6), 400)
+    _, known = _index(texts)
+    term = np.concatenate(texts)
+    first = np.r_[0, np.cumsum([len(t) for t in texts])[:-1]]
+    weight = known.weights(term, np.ones(len(term)), np.repeat([len(t) for t in texts], [len(t) for t in texts]))
+    one = packing.drawn(term, weight, first, 1)
+    assert all(o in t for o, t in zip(one.tolist(), texts))
+    assert (packing.drawn(np.r_[term, term], np.r_[weight, weight], np.r_[first, first + len(term)], 1)[400:] == one).all()
+    same = one[:, None] == one[None]
+    np.fill_diagonal(same, False)
+    of_topic = topic[:, None] == topic[None]
+    assert same[of_topic].mean() > 5 * same[~of_topic].mean()
+
+
+def test_shards_of_heavy_tokens():
+    counts = np.zeros(100, np.int64)
+    counts[[3, 4, 5, 50]] = [10, 20, 5 * packing.SHARD_ITEMS, 7]
+    shards = packing.Shards(counts)
+    second = np.arange(1000)
+    assert len(set(shards.of(np.full(1000, 5), second).tolist())) == 5
+    of = {t: set(shards.of(np.full(1000, t), second).tolist()) for t in (3, 4, 5, 50)}
+    assert of[3] == of[4] and not of[3] & of[5] and not of[50] & of[5] and max(max(o) for o in of.values()) < shards.number
+
+
+def test_copies_are_spread_over_shards(spark, monkeypatch):
+    """A third of all texts are one text; no shard takes them all, and nothing is lost."""
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 20)
+    rows = [(i, "the same words again and again" if i % 3 == 0 else f"words of text {i} " * (i % 40 + 1)) for i in range(300)]
+    items = packing.measured(spark.createDataFrame(rows, "doc_id long, text string"), tokens.TOKENIZERS)
+    placed, _ = packing.dealt(items.withColumn("rest", F.col("size")).select("doc_id", "size", "rest", "terms", "counts"), packing.statistics(items))
+    sizes = placed.groupBy("shard", "part").count().toPandas()["count"]
+    assert sizes.sum() == 300 and sizes.max() < 90
 
 
 # ---------------------------------------------------------------- languages
