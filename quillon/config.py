@@ -7,7 +7,7 @@ import xml.etree.ElementTree as ET
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from quillon.functions.metrics import OPERATIONS
+from quillon.functions.metrics import OPERATIONS, nanoseconds
 
 
 class ConfigError(ValueError):
@@ -38,7 +38,7 @@ class Plot:
 
 @dataclass
 class Pipeline:
-    """All of a definition; times are in microseconds as written."""
+    """All of a definition; times are in ns (in the text in microseconds, unless they have a unit)."""
 
     use_duration: bool = False
     apply_log: bool = False
@@ -52,6 +52,9 @@ class Pipeline:
     all_counters: bool = False
     plots: list[Plot] = field(default_factory=list)
     all_plots: bool = False
+    #: Bursts carry a semantic value that is the first clustering metric; a switch of the run, not of the definition.
+    use_semantic: bool = False
+    semantic_log: bool = False
 
 
 def _flag(node: ET.Element, name: str, default: bool = False) -> bool:
@@ -89,7 +92,7 @@ def _metric(node: ET.Element) -> Metric:
 def parse(text: str) -> Pipeline:
     """S16. Unknown nodes are errors, a repeated clustering metric too; a repeated extrapolation metric is left out with a warning."""
     root = ET.fromstring(text)
-    out = Pipeline(_flag(root, "use_duration"), _flag(root, "apply_log"), _flag(root, "normalize_data", True), int(root.get("duration_filter") or 0), float(root.get("threshold_filter") or 0))
+    out = Pipeline(_flag(root, "use_duration"), _flag(root, "apply_log"), _flag(root, "normalize_data", True), nanoseconds(root.get("duration_filter") or "0"), float(root.get("threshold_filter") or 0))
     if not 0 <= out.threshold_filter <= 100:
         raise ConfigError("threshold_filter is a percentage")
     for node in root:

@@ -96,10 +96,10 @@ def usable_types(events: DataFrame, keys: Sequence[str], ts: str = "ts", end: st
 
 
 def counters(labels: DataFrame) -> DataFrame:
-    """All hardware counters of the label table, named by what stands in (...) or [...]."""
+    """All hardware counters of the label table, named as in ``(NAME) text`` or ``NAME [text]``, else by the whole label."""
     low, high = COUNTER_RANGE
-    name = F.regexp_extract("label", r"[(\[]([^)\]]*)[)\]]", 1)
-    return labels.where((F.col("event_type") >= low) & (F.col("event_type") < high)).select("event_type", F.when(name != "", name).otherwise(F.col("label")).alias("counter"))
+    old, new = F.regexp_extract("label", r"^\(([^)]*)\)", 1), F.regexp_extract("label", r"^([^(\[][^\[]*?) ?\[.*\]", 1)
+    return labels.where((F.col("event_type") >= low) & (F.col("event_type") < high)).select("event_type", F.coalesce(F.nullif(old, F.lit("")), F.nullif(new, F.lit("")), F.col("label")).alias("counter"))
 
 
 def event_by_label(labels: DataFrame, text: str) -> DataFrame:
@@ -108,9 +108,13 @@ def event_by_label(labels: DataFrame, text: str) -> DataFrame:
     return labels.withColumn("_rank", rank).where("_rank is not null").orderBy("_rank", "event_type").limit(1).select("event_type", "label")
 
 
-def power_counters(groups: Sequence[int] = (42001000,), size: int = 49) -> list[int]:
-    """P10: the counters of a cycle-stack model, as consecutive codes from the first of each group."""
-    return [g + i for g in groups for i in range(size)]
+#: P10. The counters of the cycle-stack model.
+POWER_COUNTERS = (
+    42001001, 42001005, 42001008, 42001009, 42001012, 42001018, 42001022, 42001029, 42001043, 42001054, 42001056, 42001057, 42001060, 42001063, 42001070,
+    42001071, 42001073, 42001074, 42001075, 42001079, 42001086, 42001090, 42001091, 42001099, 42001102, 42001105, 42001106, 42001107, 42001108, 42001118,
+    42001129, 42001135, 42001140, 42001145, 42001206, 42001207, 42001211, 42001218, 42001219, 42001220, 42001221, 42001222, 42001223, 42001224, 42001225,
+    42001226, 42001227, 42001228, 42001229,
+)
 
 
 # ---------------------------------------------------------------- vectors

@@ -55,12 +55,12 @@ def sums(inside: DataFrame, keys: Sequence[str] = ("task", "thread")) -> DataFra
     return inside.groupBy(*keys, "begin", "end", "burst_line", "event_type").agg(F.sum("event_value").alias("total"))
 
 
-def cut_counter_sets(inside: DataFrame, keys: Sequence[str] = ("task", "thread"), ordinal: str = "ordinal") -> DataFrame:
-    """At a burst's end, pairs of a record from a counter-set change on aren't credited to it."""
-    burst = Window.partitionBy(*keys, "begin")
-    change = F.when((F.col("event_type") == COUNTER_SET_TYPE) & (F.col("ts") == F.col("end")), F.col(ordinal))
+def cut_counter_sets(inside: DataFrame, keys: Sequence[str] = ("task", "thread"), order: Sequence[str] = ("line", "ordinal")) -> DataFrame:
+    """At a burst's end, pairs from a counter-set change on, in its record or a later one, aren't credited to it."""
+    burst, place = Window.partitionBy(*keys, "begin"), F.struct(*order)
+    change = F.when((F.col("event_type") == COUNTER_SET_TYPE) & (F.col("ts") == F.col("end")), place)
     marked = inside.withColumn("_change", F.min(change).over(burst))
-    return marked.where(F.col("_change").isNull() | (F.col("ts") != F.col("end")) | (F.col(ordinal) < F.col("_change"))).drop("_change")
+    return marked.where(F.col("_change").isNull() | (F.col("ts") != F.col("end")) | (place < F.col("_change"))).drop("_change")
 
 
 def consecutive_regions(events: DataFrame, types: Sequence[int], keys: Sequence[str] = ("task", "thread"), order: Sequence[str] = ("ts", "line")) -> DataFrame:

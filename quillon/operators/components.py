@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quillon.runtime import cut
 
 PAIRS = "a long, b long"
+#: So few pairs (32 MB) are finished in one task; more go on in rounds over all executors, with the same result.
+ONE_TASK = 2_000_000
 
 
 def smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,10 +54,16 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[node[far], loops]), pa.array(np.r_[root[far], loops])], ["a", "b"])
 
 
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    node, root = smallest(*(np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in (0, 1)))
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["root", "top"])
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """node, root: every node of the pairs (a, b) with the least node of its component.
 
-    Partitions contract their pairs to stars first. Then, until no pair is left, each node hooks onto its
+    Partitions contract their pairs to stars first. Then, until at most ONE_TASK pairs are left, each node hooks onto its
     least neighbour, pointers jump once, and pairs are renamed by their roots; each round at least halves the
     nodes of a component. Rounds are cut by tables in the shared folder. Pairs with a null end are no pairs; a
     node paired with itself is its own component; repeated pairs count once.
@@ -65,7 +73,7 @@ def components(pairs: DataFrame) -> DataFrame:
     loops = stars.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     edges = stars.where("a <> b")
     roots = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
-    while not edges.isEmpty():
+    while (left := edges.count()) > ONE_TASK:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")), "hooks")
         jump = hook.select(F.col("a").alias("up"), F.col("up").alias("upper"))
@@ -74,4 +82,7 @@ def components(pairs: DataFrame) -> DataFrame:
         roots = cut(roots, "roots")
         renamed = edges.join(hook, "a").select("b", F.col("up").alias("x")).join(hook.select(F.col("a").alias("b"), F.col("up").alias("y")), "b")
         edges = cut(renamed.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).mapInArrow(contract, PAIRS), "pairs")
+    if left:
+        last = edges.coalesce(1).mapInArrow(_finish, "root long, top long")
+        roots = roots.join(last, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return roots.unionByName(loops.join(roots.select("node"), "node", "left_anti"))

@@ -7,11 +7,11 @@ is an equi-join. Copies of a point are folded first, so that a cell full of equa
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 from functools import reduce
+from itertools import product
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +29,8 @@ def squared(dims: Sequence[str], a: str, b: str) -> Column:
     return reduce(lambda s, x: s + x, [(F.col(f"{a}.{d}") - F.col(f"{b}.{d}")) * (F.col(f"{a}.{d}") - F.col(f"{b}.{d}")) for d in dims])
 
 
-def radius_pairs(points: DataFrame, others: DataFrame, dims: Sequence[str], eps: float, strict: bool = False) -> DataFrame:
-    """(id, other, d2) with squared distance at most eps^2 (below it if ``strict``), a point itself included.
+def radius_pairs(points: DataFrame, others: DataFrame, dims: Sequence[str], eps: float, strict: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, other, d2, and ``keep`` of the others) with squared distance at most eps^2 (below it if ``strict``), a point itself included.
 
     Rows with a null coordinate have no neighbours. The result has one row per pair of rows: give distinct
     points where copies abound.
@@ -45,7 +45,7 @@ def radius_pairs(points: DataFrame, others: DataFrame, dims: Sequence[str], eps:
     same = [F.col(f"a._c_{d}") == F.col(f"b._c_{d}") for d in grid]
     d2 = squared(dims, "a", "b")
     bound = F.lit(float(eps) * float(eps))
-    return a.join(b, reduce(lambda x, y: x & y, same)).where(d2 < bound if strict else d2 <= bound).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), d2.alias("d2"))
+    return a.join(b, reduce(lambda x, y: x & y, same)).where(d2 < bound if strict else d2 <= bound).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), d2.alias("d2"), *[F.col(f"b.{c}").alias(c) for c in keep])
 
 
 def folded(points: DataFrame, dims: Sequence[str]) -> DataFrame:
@@ -63,62 +63,46 @@ def neighbour_counts(points: DataFrame, dims: Sequence[str], eps: float) -> Data
 # ---------------------------------------------------------------- k nearest
 
 
-def _blocks_of(queries: DataFrame, dims: Sequence[str], rows: int) -> DataFrame:
-    """The queries in blocks of about ``rows``, one packed row each; each block is met by all points."""
-    n = queries.count()
-    blocks = max(1, -(-n // rows))
-    return queries.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("_block").agg(F.collect_list(F.struct("id", *dims)).alias("queries"))
-
-
-def k_nearest(queries: DataFrame, points: DataFrame, dims: Sequence[str], k: int, block: int = 2048) -> DataFrame:
+def k_nearest(queries: DataFrame, points: DataFrame, dims: Sequence[str], k: int) -> DataFrame:
     """(id, other, d2, rank) of the k nearest points of each query, itself included if it is a point; ties by id.
 
-    Every partition of points keeps its k best per query of a block - exact, as the k nearest overall are
-    among the k nearest of their partition - and only those are shuffled. Fewer than k points give fewer rows.
+    Rows with a null coordinate are left out; fewer than k points give fewer rows. Space is halved level by
+    level. The finest cell around a query that holds k points bounds the distance of its k-th neighbour by the
+    cell's diagonal, which is at most the width one level up: the query's k nearest lie in the 3^d cells around it
+    there. So queries meet points by an equi-join of cells, each at a level that suits the density around it. Of
+    equal points only the k of least id can be among the nearest; others are left out first.
     """
-    from pyspark.sql import types as T
-
-    packed = _blocks_of(queries.dropna(subset=list(dims)).select("id", *dims), dims, block)
-    rows = packed.select("_block", "queries")
-    own = points.dropna(subset=list(dims)).select(F.col("id").alias("_p"), *[F.col(d).cast("double").alias(f"_x{i}") for i, d in enumerate(dims)])
-    parts = cut(own, "points")
-    names = [f"_x{i}" for i in range(len(dims))]
-
-    chunks = max(1, -(-parts.count() // 20_000))
-    grouped = parts.withColumn("_chunk", F.pmod(F.xxhash64("_p"), F.lit(chunks))).groupBy("_chunk")
-    asked = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))).groupBy("_chunk")
-    kind = T.LongType().simpleString()
-
-    def best(p: pa.Table, q: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"id": [], "other": [], "d2": []}
-        ids = p.column("_p").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        x = np.stack([p.column(n).to_numpy()[order] for n in names], 1) if len(ids) else np.zeros((0, len(names)))
-        for block_rows in q.column("queries").to_pylist():
-            if not len(ids):
-                break
-            qi = np.array([r["id"] for r in block_rows])
-            qx = np.array([[float(r[d]) for d in dims] for r in block_rows])
-            for s in range(0, len(qi), 64):
-                d2 = np.zeros((len(qi[s:s + 64]), len(ids)))
-                for j in range(len(names)):
-                    diff = qx[s:s + 64, j, None] - x[None, :, j]
-                    d2 += diff * diff
-                m = min(k, len(ids))
-                cutoff = np.partition(d2, m - 1, axis=1)[:, m - 1]
-                for row in range(len(d2)):
-                    near = np.flatnonzero(d2[row] <= cutoff[row])
-                    near = near[np.argsort(d2[row][near], kind="stable")][:m]
-                    out["id"].append(np.full(len(near), qi[s + row]))
-                    out["other"].append(ids[near])
-                    out["d2"].append(d2[row][near])
-        cat = lambda c, t: pa.array(np.concatenate(out[c]) if out[c] else np.zeros(0), t)
-        return pa.table({"id": cat("id", pa.int64()), "other": cat("other", pa.int64()), "d2": cat("d2", pa.float64())})
-
-    near = grouped.cogroup(asked).applyInArrow(best, f"id {kind}, other {kind}, d2 double")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "other")))
-    return ranked.where(F.col("rank") <= k)
+    if len(dims) > GRID_DIMS:
+        raise ValueError(f"at most {GRID_DIMS} dimensions")
+    at = [f"_x{i}" for i in range(len(dims))]
+    coded = lambda df, name: df.dropna(subset=list(dims)).select(F.col("id").alias(name), *[F.col(d).cast("double").alias(x) for d, x in zip(dims, at)])
+    copies = Window.partitionBy(*at).orderBy("other")
+    own = cut(coded(points, "other").withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k).drop("_n"), "points")
+    asked = cut(coded(queries, "id"), "queries")
+    box = own.select(*at).unionByName(asked.select(*at)).agg(F.count(F.lit(1)).alias("n"), *[f(x).alias(n + x) for x in at for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if not box["n"]:
+        return asked.join(own, F.lit(False)).select("id", "other", F.lit(0.0).alias("d2"), F.lit(1).alias("rank"))
+    low = [box["lo" + x] for x in at]
+    width = max([box["hi" + x] - v for x, v in zip(at, low)]) * (1 + 1e-9) or 1.0
+    finest = int(math.log2(max(box["n"], 2)) / len(dims)) + 3
+    cells = ["_level", *[f"_c{i}" for i in range(len(dims))]]
+
+    def cell_at(level: Column, add: Sequence[Column] | None = None) -> list[Column]:
+        size = F.lit(width) / F.pow(F.lit(2.0), level)
+        found = [F.floor((F.col(x) - v) / size).cast("long") for x, v in zip(at, low)]
+        return [(c if add is None else c + add[i]).alias(f"_c{i}") for i, c in enumerate(found)]
+
+    levels = F.explode(F.sequence(F.lit(0), F.lit(finest))).alias("_level")
+    in_cells = lambda df, *keep: df.select(*keep, *at, levels).select(*keep, *at, "_level", *cell_at(F.col("_level")))
+    full = in_cells(own).groupBy(*cells).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).drop("_n")
+    leveled = in_cells(asked, "id").join(full, cells, "left_semi").groupBy("id", *at).agg(F.max("_level").alias("_level"))
+    leveled = asked.join(leveled.select("id", "_level"), "id", "left").withColumn("_level", F.greatest(F.coalesce("_level", F.lit(0)) - 1, F.lit(0)))
+    around = F.array(*[F.struct(*[F.lit(o).alias(f"o{i}") for i, o in enumerate(offset)]) for offset in product((-1, 0, 1), repeat=len(dims))])
+    looks = leveled.withColumn("_o", F.explode(around))
+    looks = cut(looks.select("id", *[F.col(x).alias(f"q{x}") for x in at], "_level", *cell_at(F.col("_level"), [F.col(f"_o.o{i}") for i in range(len(dims))])), "looks")
+    met = in_cells(own, "other").join(looks.select(*cells).distinct(), cells, "left_semi")
+    near = looks.join(met, cells).select("id", "other", reduce(lambda s, x: s + x, [(F.col(f"q{x}") - F.col(x)) * (F.col(f"q{x}") - F.col(x)) for x in at]).alias("d2"))
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "other"))).where(F.col("rank") <= k)
 
 
 def k_distances(points: DataFrame, dims: Sequence[str], k_begin: int, k_end: int, queries: DataFrame | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.dbscan import dbscan
-from quillon.operators.neighbors import nearest_label
+from quillon.operators.neighbors import k_nearest
 from quillon.runtime import cut
 
 Score = Callable[[DataFrame], dict[int, tuple[float, int]]]
@@ -138,14 +138,10 @@ def collapse(nodes: list[Node]) -> list[Node]:
     return [Node(n.id, n.level, n.score, n.occurrences, n.rows, n.time, [top(p) for p in n.parents], n.done) for n in nodes if n.id not in single]
 
 
-def reclassify_noise(points: DataFrame, labels: DataFrame, dims: Sequence[str], reach: float) -> DataFrame:
-    """Noise takes the cluster of its nearest clustered point; ``reach`` bounds the distance looked at and doubles until nothing changes hands."""
-    own = labels
-    while True:
-        noise = points.join(own.where("cluster_id = 0").select("id"), "id", "left_semi")
-        known = points.join(own.where("cluster_id > 0"), "id")
-        if noise.isEmpty() or known.isEmpty():
-            return own
-        found = cut(nearest_label(noise, known, dims, reach).where("cluster_id > 0").withColumnRenamed("cluster_id", "_new"), "found")
-        own = cut(own.join(found, "id", "left").select("id", F.coalesce("_new", "cluster_id").alias("cluster_id")), "labels")
-        reach *= 2
+def reclassify_noise(points: DataFrame, labels: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Noise takes the cluster of its nearest clustered point, ties by id; points with a null coordinate stay noise."""
+    noise = points.join(labels.where("cluster_id = 0").select("id"), "id", "left_semi")
+    known = points.join(labels.where("cluster_id > 0").select("id"), "id", "left_semi")
+    nearest = k_nearest(noise, known, dims, 1).select("id", "other")
+    found = nearest.join(labels.select(F.col("id").alias("other"), F.col("cluster_id").alias("_new")), "other").select("id", "_new")
+    return labels.join(found, "id", "left").select("id", F.coalesce("_new", "cluster_id").alias("cluster_id"))

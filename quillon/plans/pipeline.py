@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon import config
@@ -37,6 +37,7 @@ class Analysis:
     def __init__(self, definition: config.Pipeline) -> None:
         self.definition = definition
         self.dims = [f"n_{m.name}" for m in self.metrics]
+        self.extrapolated: list[config.Metric] = []
 
     @classmethod
     def from_xml(cls, path: str) -> Analysis:
@@ -48,15 +49,20 @@ class Analysis:
 
     @property
     def metrics(self) -> list[config.Metric]:
+        """Clustering metrics: a semantic value and the duration, if used, come first (P6, P7); the definition's apply_log is the duration's."""
         own = list(self.definition.clustering)
-        return [config.Metric("duration", "duration", log=self.definition.apply_log), *own] if self.definition.use_duration else own
+        own = [config.Metric("Duration", "duration", log=self.definition.apply_log), *own] if self.definition.use_duration else own
+        return [config.Metric("Semantic_Value", "semantic", log=self.definition.semantic_log), *own] if self.definition.use_semantic else own
 
     def extract(self, lines: DataFrame, events: Sequence[int] | None = None, consecutive: bool = False) -> DataFrame:
-        """Bursts of a text log: running states, or regions of the given event types."""
+        """Bursts of a text log: running states, or regions of the given event types; times in ns, by the header's unit."""
+        first = lines.where("line = 1").first()
+        factor = trace_text.header(first["value"]).time_factor if first and first["value"].startswith("#") else 1
+        scaled = lambda df, *times: df.withColumns({t: F.col(t) * factor for t in times}) if factor != 1 else df
         recs = trace_text.records(lines, (trace_text.STATE, trace_text.EVENT))
-        seen = trace_text.events(recs)
+        seen = scaled(trace_text.events(recs), "ts")
         if events is None:
-            spans, running = trace_text.states(recs), 1
+            spans, running = scaled(trace_text.states(recs), "begin", "end"), 1
         else:
             spans, running = (assembly.consecutive_regions(seen, events) if consecutive else assembly.event_regions(seen, events)[0]), None
         inside = assembly.cut_counter_sets(assembly.burst_events(seen, spans, running=running))
@@ -69,21 +75,48 @@ class Analysis:
         return joined.select("instance", F.col("task").alias("task_id"), F.col("thread").alias("thread_id"), F.col("begin").alias("begin_time"),
                              F.col("end").alias("end_time"), (F.col("end") - F.col("begin")).alias("duration"), "line", "counters")
 
-    def prepare(self, bursts: DataFrame) -> DataFrame:
-        """Metrics, burst types and normalised metrics; event types come from columns m<type> or the map ``counters``."""
-        def value(code: str):  # noqa: ANN202
+    def prepare(self, bursts: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+        """Metrics, burst types, normalised metrics n_<name> and extrapolated ones x_<name>.
+
+        Event types come from columns m<type> or the map ``counters``; they may be given by their labels (P9), if
+        ``labels`` (event_type, label) are. ``all_counters`` needs labels too. Ranges of extrapolated metrics don't count.
+        """
+        self.extrapolated = list(self.definition.extrapolation)
+        if self.definition.all_counters and labels is not None:
+            known = {m.name for m in self.extrapolated}
+            rows = M.counters(labels).orderBy("event_type").collect()  # a label table
+            self.extrapolated += [config.Metric(r["counter"], str(r["event_type"])) for r in rows if r["counter"] not in known]
+        codes: dict[str, str] = {}
+
+        def code_of(text: str) -> str:
+            if text.isdigit() or text in ("duration", "semantic"):
+                return text
+            if text not in codes:
+                found = M.event_by_label(labels, text).first() if labels is not None else None
+                if found is None:
+                    raise config.ConfigError(f"no event type has the label {text!r}")
+                codes[text] = str(found["event_type"])
+            return codes[text]
+
+        def value(text: str):  # noqa: ANN202
+            code = code_of(text)
             if code == "duration":
                 return F.col("duration")
-            return F.col(f"m{code}") if f"m{code}" in bursts.columns else F.element_at("counters", F.lit(int(code)).cast("long"))
+            if code == "semantic":
+                return F.col("semantic_value")
+            return F.col(f"m{code}") if f"m{code}" in bursts.columns else F.element_at("counters", F.lit(int(code)).cast("long")) if "counters" in bursts.columns else F.lit(None).cast("long")
 
-        own = bursts
-        for m in self.metrics:
-            raw = value(m.a).cast("double") if m.b is None else M.mixed(value(m.a), value(m.b), m.operation)
-            own = own.withColumn(m.name, raw * m.factor)
+        def raw(m: config.Metric):  # noqa: ANN202
+            return (value(m.a).cast("double") if m.b is None else M.mixed(value(m.a), value(m.b), m.operation)) * m.factor
+
+        own = bursts.withColumns({m.name: raw(m) for m in self.metrics if m.a not in ("duration", "semantic")} | {f"x_{m.name}": raw(m) for m in self.extrapolated})
         parameters = [M.Parameter(m.name, low=m.low, high=m.high) for m in self.metrics]
-        own = own.withColumn("burst_type", M.burst_type(parameters, self.definition.duration_filter * 1000))
+        own = own.withColumn("burst_type", M.burst_type(parameters, self.definition.duration_filter))
         for m in self.metrics:
-            own = range_normalize(own, [m.name], complete="burst_type = 0", log=m.log or self.definition.apply_log) if self.definition.normalize else own.withColumn(f"n_{m.name}", F.col(m.name))
+            if self.definition.normalize:
+                own = range_normalize(own, [m.name], complete="burst_type = 0", log=m.log)
+            else:
+                own = own.withColumn(f"n_{m.name}", M.log_metric(F.col(m.name)) if m.log else F.col(m.name))
         return own
 
     def cluster(self, bursts: DataFrame, most: int | None = None) -> DataFrame:
@@ -109,24 +142,26 @@ class Analysis:
         return dim_join(bursts, small, ["cluster_id"], "left").withColumn("cluster_id", F.when(F.col("_small"), -1).otherwise(F.col("cluster_id"))).drop("_small")
 
     def stats(self, bursts: DataFrame) -> DataFrame:
-        return cluster_stats(bursts.where("burst_type = 0"), metrics=[m.name for m in self.definition.extrapolation if m.name in bursts.columns])
+        """Statistics of the clusters, with the mean of each extrapolated metric (avg_x_<name>) and of each clustering metric (A5, avg_<name>)."""
+        return cluster_stats(bursts.where("burst_type = 0"), metrics=[*(f"x_{m.name}" for m in self.extrapolated), *(m.name for m in self.metrics)])
 
     def kdist(self, bursts: DataFrame, k_begin: int, k_end: int) -> DataFrame:
         points = bursts.where("burst_type = 0").select(F.col("instance").alias("id"), *self.dims)
         return k_distances(points, self.dims, k_begin, k_end)
 
     def _aligned(self, bursts: DataFrame, group: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Complete bursts, their clusters' shares of time, and the aligned sequences."""
+        """Complete bursts, their clusters' shares of time (of all, and per group for the alignment), and the aligned sequences."""
         own = bursts.where("burst_type = 0")
         own = own if group in own.columns else own.withColumn(group, F.lit(1).cast("long"))
         shares = cluster_stats(own).select("cluster_id", F.col("share").alias("weight"))
-        aligned = cut(aligned_sequences(own, shares.withColumn(group, F.lit(1).cast("long")), group), "aligned")
-        return own, shares, aligned
+        per = own.groupBy(group, "cluster_id").agg(F.sum("duration").alias("_d"))
+        per = per.withColumn("weight", F.coalesce(F.col("_d") / F.sum("_d").over(Window.partitionBy(group)), F.lit(0.0))).drop("_d")
+        return own, shares, cut(aligned_sequences(own, per, group), "aligned")
 
     def score(self, bursts: DataFrame, group: str = "trace_id") -> DataFrame:
-        """Scores of the clusters of one trace by the alignment of its threads."""
+        """Scores of the clusters by the alignment of the threads of each trace."""
         own, shares, aligned = self._aligned(bursts, group)
-        threads = own.select("task_id", "thread_id").distinct().count()
+        threads = own.select(group, "task_id", "thread_id").distinct().count()
         return score_by_cluster(aligned, shares, max(1, threads))
 
     def refine(self, bursts: DataFrame, ladder: Sequence[float], min_points: int, divisive: bool = False) -> tuple[DataFrame, list[refine.Node]]:

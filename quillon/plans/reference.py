@@ -129,7 +129,7 @@ def zero_line_drop(spark: SparkSession, folder: str) -> DataFrame:
     return M.drop_zero_lines(bursts(spark, folder)).select("instance", "line", "duration")
 
 
-@query("SELECT event_type, CASE WHEN regexp_extract(label, '[(\\[]([^)\\]]*)[)\\]]', 1) <> '' THEN regexp_extract(label, '[(\\[]([^)\\]]*)[)\\]]', 1) ELSE label END AS counter FROM event_labels WHERE event_type BETWEEN 42000000 AND 42009998")
+@query("SELECT event_type, coalesce(nullif(regexp_extract(label, '^\\(([^)]*)\\)', 1), ''), nullif(regexp_extract(label, '^([^(\\[][^\\[]*?) ?\\[.*\\]', 1), ''), label) AS counter FROM event_labels WHERE event_type BETWEEN 42000000 AND 42009998")
 def all_counters(spark: SparkSession, folder: str) -> DataFrame:
     return M.counters(table(spark, folder, "event_labels"))
 
@@ -263,7 +263,7 @@ def interval_sum(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""WITH {_J} SELECT line, task, event_type FROM (SELECT *, min(CASE WHEN event_type = 41999999 AND ts = "end" THEN line END) OVER (PARTITION BY task, thread, "begin") AS ch FROM j0) WHERE ch IS NULL OR ts <> "end" OR line < ch""")
 def counter_set_cut(spark: SparkSession, folder: str) -> DataFrame:
-    return assembly.cut_counter_sets(assembly.burst_events(log(spark, folder), states(spark, folder)), ordinal="line").select("line", "task", "event_type")
+    return assembly.cut_counter_sets(assembly.burst_events(log(spark, folder), states(spark, folder)), order=["line"]).select("line", "task", "event_type")
 
 
 @query(f"""WITH {_J} SELECT line, task, event_type FROM (SELECT *, min(ts) OVER (PARTITION BY task, thread, "begin", event_type) AS f, min(CASE WHEN event_type = 41999999 AND ts < "end" THEN ts END) OVER (PARTITION BY task, thread, "begin") AS ch FROM j0) WHERE ch IS NULL OR f <= ch""")

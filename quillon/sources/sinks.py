@@ -138,7 +138,7 @@ def support_rows(cells: DataFrame) -> DataFrame:
     return cells.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("support").cast("int")))).select((F.col("cell_x") + 0.5).alias("x"), (F.col("cell_y") + 0.5).alias("y"))
 
 
-def latest_only(marks: DataFrame) -> DataFrame:
-    """Marks of the same thread and time once, the last given."""
-    own = Window.partitionBy("task", "thread", "ts").orderBy(F.desc(F.size("pairs")))
+def latest_only(marks: DataFrame, given: str = "given") -> DataFrame:
+    """Marks of the same thread and time once, the last given; ``given`` is a column in the order they came."""
+    own = Window.partitionBy("task", "thread", "ts").orderBy(F.desc(given))
     return marks.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")

@@ -186,6 +186,22 @@ def test_density_against_the_scan(spark):
         assert [got[i] for i in range(len(x))] == sequential(x, 0.08, 4).tolist(), seed
 
 
+def test_density_of_dense_cells_and_near_misses(spark):
+    """Full cells, clusters a little more than eps apart, chains over thin cells, in one to three dimensions."""
+    for d in (1, 2, 3):
+        rng = np.random.default_rng(d)
+        centres = rng.random((6, d)) * 2
+        x = np.concatenate([c + rng.normal(0, 0.06, (70, d)) for c in centres] + [centres[0] + np.outer(np.arange(1, 12), np.eye(d)[0]) * 0.049, centres[1] + rng.random((60, d)) * 0.5])
+        df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, " + ", ".join(f"x{k} double" for k in range(d)))
+        got = {r[0]: r[1] for r in dbscan(df, [f"x{k}" for k in range(d)], 0.05, 4).collect()}
+        assert [got[i] for i in range(len(x))] == sequential(x, 0.05, 4).tolist(), d
+    wide = [(i, a, b) for i, (a, b) in enumerate((u + s * 0.06, v) for s in (0, 1) for u in np.linspace(0, 0.02, 12) for v in np.linspace(0, 0.4, 60))]
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, a, b in wide], "id long, x double, y double")
+    for eps in (0.039, 0.041):
+        got = {r[0]: r[1] for r in dbscan(df, ["x", "y"], eps, 5).collect()}
+        assert len(set(got.values())) == (2 if eps < 0.04 else 1)
+
+
 def test_bursts_are_clustered_by_their_own_values(spark, tmp_path):
     """Ratios of 0.0151 and 0.0449 lie further apart than eps, though not if they are rounded to 0.02 and 0.04."""
     from quillon.plans import reference
@@ -207,7 +223,7 @@ def test_density_of_copies_nulls_and_empty(spark):
     assert {r[1] for r in dbscan(df.where("id > 80"), ["x", "y"], 0.1, 1).collect()} == {1, 0}
 
 
-def test_components(spark, split):
+def test_components(spark, split, monkeypatch):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(0, 300)] + [(rng.randrange(400, 700), rng.randrange(400, 700)) for _ in range(200)] + [(900, 900), (5, 5), (None, 3)]
     got = {r[0]: r[1] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
@@ -223,6 +239,8 @@ def test_components(spark, split):
             p, q = sorted((find(a), find(b)))
             root[q] = p
     assert got == {i: find(i) for i in list(root)}
+    monkeypatch.setattr("quillon.operators.components.ONE_TASK", 3)
+    assert {r[0]: r[1] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()} == got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -234,6 +252,15 @@ def test_nearest_and_k_distances(spark):
     near = {(r["id"], r["rank"]): r["other"] for r in neighbors.k_nearest(df, df, ["x", "y"], 3).collect()}
     for i in range(len(x)):
         assert [near[i, k] for k in (1, 2, 3)] == sorted(range(len(x)), key=lambda j: (d2[i, j], j))[:3]
+    for d in (1, 2, 3):  # uneven density, copies, queries that are no points and lie outside
+        p = np.concatenate([rng.random((150, d)) * 0.01, rng.random((40, d)) * 5, np.repeat(rng.random((1, d)), 30, 0)])
+        q = np.concatenate([rng.random((20, d)) * 8 - 2, p[::9]])
+        names = [f"x{i}" for i in range(d)]
+        frame = lambda rows: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "id long, " + ", ".join(f"{n} double" for n in names))
+        got = {(r["id"], r["rank"]): r["other"] for r in neighbors.k_nearest(frame(q), frame(p), names, 6).collect()}
+        far = sum((q[:, None, i] - p[None, :, i]) ** 2 for i in range(d))
+        for i in range(len(q)):
+            assert [got[i, k] for k in range(1, 7)] == np.lexsort((np.arange(len(p)), far[i]))[:6].tolist()
     kd = {(r["k"], r["id"]): r["dist"] for r in neighbors.k_distances(df, ["x", "y"], 2, 3).collect()}
     assert kd[3, 0] == pytest.approx(np.sqrt(np.sort(d2[0])[3])) and len(kd) == 240
     assert neighbors.k_nearest(df, df.limit(0), ["x", "y"], 3).count() == 0
@@ -340,7 +367,7 @@ def test_refinement(spark):
     assert [(n.id, n.parents) for n in refine.collapse(tree)] == [(1, []), (3, [1]), (4, [1])]
     assert "->" in sinks.tree_dot(tree)
     noise = spark.createDataFrame([(i, 0 if i < 5 else 7) for i in range(90)], "id long, cluster_id int")
-    assert refine.reclassify_noise(df, noise, ["x", "y"], 0.05).where("cluster_id = 0").count() == 0
+    assert refine.reclassify_noise(df, noise, ["x", "y"]).where("cluster_id = 0").count() == 0
 
 
 def test_refinement_merges_clusters_of_the_same_columns(spark):
@@ -392,7 +419,7 @@ XML = """<clustering_definition use_duration="no" apply_log="yes" normalize_data
 
 def test_definitions():
     d = config.parse(XML)
-    assert (d.algorithm, d.arguments, d.duration_filter, d.all_counters) == ("DBSCAN", {"epsilon": "0.1", "min_points": "3"}, 10, True)
+    assert (d.algorithm, d.arguments, d.duration_filter, d.all_counters) == ("DBSCAN", {"epsilon": "0.1", "min_points": "3"}, 10_000, True)
     assert [(m.name, m.low, m.log, m.operation) for m in d.clustering] == [("INS", 1.0, True, ""), ("IPC", None, False, "/")]
     assert d.plots[0].raw and not d.all_plots
     for bad in (XML.replace("output_plots", "plots"), XML.replace('name="IPC"', 'name="INS"'), XML.replace('operation="/"', 'operation="?"')):
@@ -426,6 +453,39 @@ def test_whole_analysis(spark):
     assert sampled.where("cluster_id > 0").count() == 80
 
 
+def test_definition_of_logs_ranges_and_means_on_a_log_in_microseconds(spark):
+    """Hand-worked: the root's apply_log is the duration's alone, times are scaled once, counters are extrapolated, labels stand for event types."""
+    text = '''<clustering_definition use_duration="no" apply_log="yes" normalize_data="yes" duration_filter="1000" threshold_filter="0">
+      <clustering_algorithm name="DBSCAN"><epsilon>.3</epsilon><min_points>1</min_points></clustering_algorithm>
+      <clustering_parameters>
+        <single_event apply_log="yes" name="INS"><event_type>PAPI_TOT_INS</event_type><range_min>3e8</range_min><factor>1.0</factor></single_event>
+        <mixed_events apply_log="no" name="IPC" operation="/"><event_type_a>PAPI_TOT_INS</event_type_a><event_type_b>42000059</event_type_b><factor>1.0</factor></mixed_events>
+      </clustering_parameters>
+      <extrapolation_parameters all_counters="yes"/></clustering_definition>'''
+    labels = spark.createDataFrame([(42000050, "(PAPI_TOT_INS) Instr completed"), (42000059, "(PAPI_TOT_CYC) Cycles"), (42000000, "PAPI_L1_DCM [Misses]"), (90, "else")], "event_type long, label string")
+    rows = [(0, 2000, 4e8, 8e8, 10), (3000, 6000, 1e9, 1.25e9, 20), (7000, 9500, 3e9, 3e9, 60), (10000, 12000, 1e8, 1e8, 5), (13000, 13500, 5e8, 5e8, 7)]
+    lines = ["#Log (01/01/2020 at 10:00):20000:1(2):1:1(1:1)"]
+    for begin, end, ins, cyc, misses in rows:
+        lines += [f"1:1:1:1:1:{begin}:{end}:1", f"2:1:1:1:1:{end}:42000050:{int(ins)}:42000059:{int(cyc)}:42000000:{misses}"]
+    run = Analysis(config.parse(text))
+    bursts = run.prepare(run.extract(spark.createDataFrame(list(enumerate(lines, 1)), "line long, value string")), labels)
+    got = {r["begin_time"]: r for r in bursts.collect()}
+    assert {b // 1000: (r["duration"], r["burst_type"]) for b, r in got.items()} == {
+        0: (2_000_000, 0), 3000: (3_000_000, 0), 7000: (2_500_000, 0), 10000: (2_000_000, 3), 13000: (500_000, 2)}
+    assert [got[b * 1000]["n_IPC"] for b in (0, 3000, 7000)] == pytest.approx([0, 0.6, 1])
+    assert [got[b * 1000]["n_INS"] for b in (0, 3000, 7000)] == pytest.approx([0, np.log(2.5) / np.log(7.5), 1])
+    assert got[0]["x_PAPI_L1_DCM"] == 10 and [m.name for m in run.extrapolated] == ["PAPI_L1_DCM", "PAPI_TOT_INS", "PAPI_TOT_CYC"]
+    stats = run.stats(bursts.withColumn("cluster_id", F.lit(1))).first()
+    assert stats["avg_x_PAPI_L1_DCM"] == pytest.approx(30) and stats["avg_IPC"] == pytest.approx((0.5 + 0.8 + 1) / 3)
+    plain = Analysis(config.parse(text.replace('normalize_data="yes"', 'normalize_data="no"').replace('use_duration="no"', 'use_duration="yes"')))
+    one = plain.prepare(bursts.select("instance", "task_id", "thread_id", "begin_time", "end_time", "duration", "line", "counters"), labels).where("begin_time = 0").first()
+    assert (one["n_INS"], one["n_IPC"], one["n_Duration"]) == pytest.approx((np.log(4e8), 0.5, np.log(2e6)))
+    with pytest.raises(config.ConfigError):
+        Analysis(config.parse(text)).prepare(bursts.select("duration", "counters"))
+    plain.definition.use_semantic = True
+    assert [m.name for m in plain.metrics] == ["Semantic_Value", "Duration", "INS", "IPC"]
+
+
 def test_streamed_assembly_equals_batch(spark, tmp_path):
     from quillon.streaming import bursts as S
 
