@@ -30,8 +30,8 @@ def _outer(dims: Sequence[str]) -> list[Column]:
     return [F.max_by(F.struct(*dims), _sum([F.col(d) * float(s) for d, s in zip(dims, v)])) for v in directions]
 
 
-def _linked_cells(core: DataFrame, dims: Sequence[str], eps: float) -> DataFrame:
-    """(id, start): core points with the least core point of their cluster. ``core`` has id, dims and the cell columns."""
+def _linked_cells(core: DataFrame, dims: Sequence[str], eps: float) -> tuple[DataFrame, DataFrame]:
+    """Cells with the least core point of their cluster (``start``), and core points with it. ``core`` has id, dims and the cell columns."""
     cells = [f"_f_{d}" for d in dims]
     bound = float(eps) * float(eps)
     of_cell = cut(core.groupBy(*cells).agg(F.min("id").alias("node"), F.array(*_outer(dims)).alias("outer"), *[f(d).alias(n + d) for d in dims for n, f in (("lo_", F.min), ("hi_", F.max))]), "cells")
@@ -62,7 +62,8 @@ def _linked_cells(core: DataFrame, dims: Sequence[str], eps: float) -> DataFrame
         found = near("a", "b").join(near("b", "a").drop("root_a", "root_b"), ["a", "b"]).where(close).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
         joined = components(found).select(F.col("node").alias("root"), F.col("root").alias("_top"))
         roots = cut(roots.join(joined, "root", "left").select("node", F.coalesce("_top", "root").alias("root")), "roots")
-    return core.join(of_cell.select("node", *cells), cells).join(roots, "node").select("id", F.col("root").alias("start"))
+    started = of_cell.select("node", *cells).join(roots.select("node", F.col("root").alias("start")), "node").drop("node")
+    return started, dim_join(core, started, cells).select("id", *dims, "start")
 
 
 def dbscan(points: DataFrame, dims: Sequence[str], eps: float, min_points: int) -> DataFrame:
@@ -84,14 +85,14 @@ def dbscan(points: DataFrame, dims: Sequence[str], eps: float, min_points: int)
     dense = own.join(full, cells, "left_semi")
     thin = cut(own.join(full, cells, "left_anti"), "thin")
     pairs = radius_pairs(thin.select("id", *dims), own.select("id", *dims, "copies"), dims, eps, keep=["copies"])
-    counted = pairs.groupBy("id").agg(F.sum("copies").alias("_n")).where(F.col("_n") >= min_points).select("id")
-    core_ids = cut(counted, "core")
-    core = cut(dense.unionByName(thin.join(core_ids, "id", "left_semi")).select("id", *dims, *cells), "core-points")
-    roots = cut(_linked_cells(core, dims, eps), "starts-of")
+    counted = pairs.groupBy("id").agg((F.sum("copies") >= min_points).alias("_core"))
+    thin = cut(thin.join(counted, "id"), "counted")
+    core = dense.unionByName(thin.where("_core").drop("_core")).select("id", *dims, *cells)
+    roots, of_core = _linked_cells(core, dims, eps)
     starts = ranked(roots.select("start").distinct(), [], ["start"], "number").select("start", F.col("number").cast("int").alias("cluster_id"))
-    assigned = cut(dim_join(roots, cut(starts, "starts"), ["start"]), "assigned")
-    border = thin.join(core_ids, "id", "left_anti")
-    near = radius_pairs(border.select("id", *dims), core.join(assigned, "id").select("id", *dims, "start", "cluster_id"), dims, eps, keep=["start", "cluster_id"])
+    assigned = cut(dim_join(of_core, starts, ["start"]), "assigned")
+    border = thin.where("not _core")
+    near = radius_pairs(border.select("id", *dims), assigned, dims, eps, keep=["start", "cluster_id"])
     first = F.max(F.when(F.col("other") == F.col("start"), F.col("cluster_id")))
     labels = assigned.select("id", "cluster_id").unionByName(near.groupBy("id").agg(F.coalesce(first, F.min("cluster_id")).alias("cluster_id")))
     known = own.join(labels, "id").select(*[F.col(d).alias(f"_k_{d}") for d in dims], "cluster_id")
