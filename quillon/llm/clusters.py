@@ -1,18 +1,21 @@
 """Clusters of similar bursts (problem 3).
 
 A burst is a point of three logarithms: duration and the two counters. Bursts in one fine cell (STEP wide) are
-copies of one record and are folded first. A record's set has one token for each of TOKENS randomly shifted
-coarse grids, so the Jaccard similarity of two sets falls with their distance in every dimension. MinHash
-bands give candidate pairs, exact Jaccard and the distance of the cells verify them, and connected components
-of the pairs are clusters. Loose ones are split around the records with most neighbours.
-
-A band's bucket lies within one coarse cell and so holds at most (WIDTH / STEP + 1)^3 records; pairs are
-compared by shifted rows of sorted buckets, and a partition passes on stars instead of pairs.
+copies of one record and are folded first. A record has a set of tokens for each of its three values: the coarse
+interval it falls into in each of SHIFTS grids, shifted by one fine cell each, so that the Jaccard similarity of two
+records' sets falls with the distance of their values, from 1 to 0 at SHIFTS fine cells. Records are alike if the
+similarity of each of the three sets reaches JACCARD. MinHash bands of one hash per set give candidate pairs, exact
+Jaccard verifies them, and connected components of the pairs are clusters. Loose ones are split around the records
+with most neighbours.
+
+A band's bucket lies within one coarse cell and so holds at most SHIFTS^3 records; pairs are compared by shifted rows
+of sorted buckets, some buckets at a time, and a task passes on stars instead of pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.components import components, smallest
+from quillon.operators.ranks import ranked
 from quillon.runtime import cut, dim_join
 
 DIMS = ("x", "y", "z")
 STEP = 0.1  #: width of the fine cells, in natural logarithms
-LINK = 2  #: cells this many steps apart are alike: at most 3 * STEP < ln(1.8 / 1.3) between their points
-WIDTH, TOKENS, BANDS = 0.8, 24, 16
-JACCARD = 0.2
+SHIFTS = 8  #: grids of each value, of intervals SHIFTS * STEP wide
+BANDS = 20  #: a pair just similar enough shares a bucket of one band with a chance of 0.6^3, of any with 0.992
+JACCARD = 0.5  #: reached at two fine cells apart (6/10), not at three (5/11): no link reaches over ln(1.8 / 1.3)
+PIECE = 100_000  #: rows of buckets compared at a time
 NEAR, FAR, LEAST = 1.3, 1.8, 20
 TYPICAL = 3
 COARSE = 7  #: fine cells in a coarse cell of the isolation check; at least ln(FAR) / STEP + 1
@@ -34,16 +39,24 @@ BITS = 9  #: of one cell number: ln(2^63) / STEP is below 2^9
 
 
 def points(bursts: DataFrame, events: DataFrame, counters: tuple[int, int] = (42000050, 42000059)) -> DataFrame:
-    """instance, trace_id, v0..v2 (duration and counters), x, y, z (logarithms) and cell of each burst with all three above 0."""
+    """instance, trace_id, v0..v2 (duration and counters), x, y, z (logarithms) of each burst with all three above 0."""
     own = bursts.where(F.col("instance").isNotNull() & F.col("trace_id").isNotNull()).groupBy("instance").agg(F.max("trace_id").alias("trace_id"), F.max("duration").alias("v0"))
     e = events.where(F.col("event_type").isin(*counters) & (F.col("event_value") > 0)).groupBy("instance").agg(
         *[F.max(F.when(F.col("event_type") == t, F.col("event_value"))).alias(f"v{k}") for k, t in enumerate(counters, 1)])
     rows = own.where("v0 > 0").join(e.where("v1 > 0 and v2 > 0"), "instance")
-    rows = rows.select("*", *[F.log(F.col(f"v{k}").cast("double")).alias(d) for k, d in enumerate(DIMS)])
-    place = F.col("trace_id")
+    return rows.select("*", *[F.log(F.col(f"v{k}").cast("double")).alias(d) for k, d in enumerate(DIMS)])
+
+
+def with_cells(rows: DataFrame) -> DataFrame:
+    """The rows with ``cell``: the number of the trace and the three numbers of the fine cell in one. Trace ids that don't fit are numbered first."""
+    ends = rows.agg(F.min("trace_id"), F.max("trace_id")).first()
+    number = F.col("trace_id")
+    if ends[0] is not None and (ends[0] < 0 or ends[1] >= 1 << (63 - 3 * BITS)):
+        names = ranked(rows.select("trace_id").distinct(), [], ["trace_id"], "_number")
+        rows, number = dim_join(rows, names, ["trace_id"]), F.col("_number")
     for d in DIMS:
-        place = F.shiftleft(place, BITS).bitwiseOR(F.floor(F.col(d) / STEP).cast("long"))
-    return rows.withColumn("cell", place)
+        number = F.shiftleft(number, BITS).bitwiseOR(F.floor(F.col(d) / STEP).cast("long"))
+    return rows.withColumn("cell", number).drop("_number")
 
 
 def unpack_cells(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,70 +72,94 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def token_sets(place: np.ndarray) -> np.ndarray:
-    """(records, TOKENS): the coarse cell of each shifted grid, as a number that also names the grid."""
-    shift = np.random.default_rng(7).random((TOKENS, 3)) * WIDTH
-    centre = (place + 0.5) * STEP
-    out = np.empty((len(place), TOKENS), np.uint64)
-    for t in range(TOKENS):
-        c = np.floor((centre + shift[t]) / WIDTH).astype(np.uint64)
-        out[:, t] = ((np.uint64(t) << np.uint64(48)) | (c[:, 0] << np.uint64(32)) | (c[:, 1] << np.uint64(16)) | c[:, 2])
-    return out
+    """(records, 3, SHIFTS): for each value and shifted grid the interval it falls into."""
+    return ((place[:, :, None] + np.arange(SHIFTS)) // SHIFTS).astype(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least Jaccard similarity of the three sets of pairs of records."""
+    common = (a == b).sum(2)
+    return (common / (2 * SHIFTS - common)).min(1)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    grid = np.arange(3 * SHIFTS, dtype=np.uint64).reshape(3, SHIFTS) << np.uint64(32)
     for batch in batches:
         cell = batch.column(0).to_numpy()
         trace, place = unpack_cells(cell)
-        tokens = token_sets(place)
+        tokens = token_sets(place).astype(np.uint64) | grid
+        own = _mix(trace.astype(np.uint64) * np.uint64(2654435761))
         for band in range(BANDS):
-            least = tokens[np.arange(len(cell)), _mix(tokens + np.uint64(band * 0x9E3779B97F4A7C15 % 2**64)).argmin(1)]
-            bucket = _mix(_mix(least) + trace.astype(np.uint64) * np.uint64(2654435761) + np.uint64(band)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(cell)], ["bucket", "cell"])
+            hashes = _mix(tokens + np.uint64((band + 1) * 0x9E3779B97F4A7C15 % 2**64))
+            least = np.take_along_axis(tokens, hashes.argmin(2)[:, :, None], 2)[:, :, 0]
+            bucket = own + np.uint64(band)
+            for k in range(3):
+                bucket = _mix(bucket ^ _mix(least[:, k]))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(cell)], ["bucket", "cell"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars of the verified pairs of a partition's buckets."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    bucket, cell = (t.column(i).to_numpy() for i in (0, 1))
+def _stars(bucket: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each record of some whole buckets with the least one it is joined to by verified pairs."""
     cells, at = np.unique(cell, return_inverse=True)
     trace, place = unpack_cells(cells)
     tokens = token_sets(place)
-    size = np.bincount(np.cumsum(np.r_[True, bucket[1:] != bucket[:-1]]) - 1)
-    found: list[np.ndarray] = []
-    for d in range(1, int(size.max())):
-        a, b = at[:-d], at[d:]
-        near = np.flatnonzero(bucket[:-d] == bucket[d:])
-        near = near[(np.abs(place[a[near]] - place[b[near]]) <= LINK).all(1) & (trace[a[near]] == trace[b[near]])]
-        found.append(a[near] * len(cells) + b[near])
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    a, b = pairs // len(cells), pairs % len(cells)
-    common = np.zeros(len(pairs), np.int64)
-    for k in range(TOKENS):
-        common += tokens[a, k] == tokens[b, k]
-    alike = common >= JACCARD * (2 * TOKENS - common)
-    node, root = smallest(cells[a[alike]], cells[b[alike]])
-    far = node != root
-    yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(root[far])], ["a", "b"])
+    new = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    size = np.diff(np.r_[new, len(bucket)])
+    left = np.repeat(size, size) - (np.arange(len(bucket)) - np.repeat(new, size))  # rows from here to the bucket's end
+    node = root = np.zeros(0, np.int64)
+    rows = np.arange(len(bucket))
+    for d in range(1, int(size.max(initial=1))):
+        rows = rows[left[rows] > d]
+        a, b = at[rows], at[rows + d]
+        alike = (similarity(tokens[a], tokens[b]) >= JACCARD) & (trace[a] == trace[b])
+        node, root = smallest(np.r_[node, a[alike]], np.r_[root, b[alike]])
+        node, root = node[node != root], root[node != root]
+    return cells[node], cells[root]
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of the verified pairs of a partition's buckets, some buckets at a time."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        held.append(np.stack([batch.column(i).to_numpy() for i in (0, 1)]))
+        if sum(h.shape[1] for h in held) >= PIECE:
+            whole = np.concatenate(held, 1)
+            end = int(np.searchsorted(whole[0], whole[0, -1]))  # the last bucket may go on
+            if end:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _stars(*whole[:, :end])], ["a", "b"])
+            held = [whole[:, end:]]
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _stars(*np.concatenate(held, 1))], ["a", "b"])
 
 
 def _split(t: pa.Table) -> pa.Table:
-    """Parts of one loose component around the records with most neighbours; at most as many rows as fine cells."""
+    """Parts of one loose component around the records with most neighbours; at most as many rows as a trace has fine cells.
+
+    Neighbours are looked up by their cell numbers, so the work grows with the cells and not with their square.
+    """
     cell, rows = t.column("cell").to_numpy(), t.column("rows").to_numpy()
+    order = np.argsort(cell)
+    cell, rows = cell[order], rows[order]
     _, place = unpack_cells(cell)
-    order = np.lexsort(place.T)
-    cell, rows, place = cell[order], rows[order], place[order]
-    degree = np.zeros(len(cell), np.int64)
-    for s in range(0, len(cell), 512):
-        close = (np.abs(place[s:s + 512, None] - place[None]) <= LINK).all(2)
-        degree[s:s + 512] = close @ rows
-    part = np.full(len(cell), -1)
     reach = int(np.log(NEAR) / STEP)
-    for i in np.lexsort((cell, -degree)):
+    steps = np.array(list(product(range(-reach, reach + 1), repeat=3)))
+    shift = (steps[:, 0] << (2 * BITS)) + (steps[:, 1] << BITS) + steps[:, 2]
+
+    def around(i: np.ndarray, step: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that lie by a step from rows ``i``, where there is one."""
+        to = np.minimum(np.searchsorted(cell, cell[i] + by), len(cell) - 1)
+        return to, (cell[to] == cell[i] + by) & (place[to] == place[i] + step).all(-1)
+
+    degree, every = np.zeros(len(cell), np.int64), np.arange(len(cell))
+    for step, by in zip(steps, shift.tolist()):
+        to, there = around(every, step, np.int64(by))
+        degree[there] += rows[to[there]]
+    part = np.full(len(cell), -1)
+    for i in np.lexsort((cell, -degree)).tolist():
         if part[i] < 0:
-            part[(part < 0) & (np.abs(place - place[i]) <= reach).all(1)] = i
+            to, there = around(np.full(len(steps), i), steps, shift)
+            to = to[there]
+            part[to[part[to] < 0]] = i
     return pa.table({"cell": pa.array(cell), "cluster": pa.array(cell[part])})
 
 
@@ -133,9 +170,9 @@ def clusters(bursts: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame
     clusters: cluster, trace_id, size, first (least instance), m0..m2 (medians), l0..l2 and h0..h2 (ranges).
     isolated: those of at least LEAST bursts within a factor NEAR of the medians, with every other burst of
     the trace beyond FAR in some value. Bursts and event rows count once; nulls and values of 0 or less leave a
-    burst out; trace ids are from 0 to 2^36. Empty tables give empty results.
+    burst out. Empty tables give empty results.
     """
-    rows = cut(points(bursts, events), "points")
+    rows = with_cells(cut(points(bursts, events), "points"))
     cells = cut(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), *[f(d).alias(n + d) for d in DIMS for n, f in (("lo_", F.min), ("hi_", F.max))]), "cells")
     banded = cells.select("cell").mapInArrow(_bands, "bucket long, cell long")
     stars = banded.repartition("bucket").sortWithinPartitions("bucket", "cell").mapInArrow(_verified, "a long, b long")
@@ -164,18 +201,18 @@ def _invaded(tight: DataFrame, cells: DataFrame, places: DataFrame, members: Dat
     cells that reach into a cluster's box are compared one by one.
     """
     number = lambda c, k: F.shiftright(c, BITS * (2 - k)).bitwiseAND((1 << BITS) - 1)
-    look = tight.select("cluster", "trace_id", *[F.col(f"m{k}").cast("double").alias(f"m{k}") for k in range(3)])
+    look = tight.select("cluster", F.shiftright("cluster", 3 * BITS).alias("_trace"), *[F.col(f"m{k}").cast("double").alias(f"m{k}") for k in range(3)])
     for k in range(3):
         at = F.floor(F.floor(F.log(f"m{k}") / STEP) / COARSE).cast("long")
         look = look.withColumn(f"c{k}", F.explode(F.array(at - 1, at, at + 1)))
-    own = cells.join(places, "cell").withColumnRenamed("cluster", "other").withColumn("trace_id", F.shiftright("cell", 3 * BITS))
+    own = cells.join(places, "cell").withColumnRenamed("cluster", "other").withColumn("_trace", F.shiftright("cell", 3 * BITS))
     for k in range(3):
         own = own.withColumn(f"c{k}", F.floor(number(F.col("cell"), k) / COARSE).cast("long"))
     reach = float(np.log(FAR)) + 1e-9
     meets = F.col("other") != F.col("cluster")
     for k, d in enumerate(DIMS):
         meets &= (F.col("lo_" + d) <= F.log(f"m{k}") + reach) & (F.col("hi_" + d) >= F.log(f"m{k}") - reach)
-    doubt = look.join(own, ["trace_id", "c0", "c1", "c2"]).where(meets).select("cell", "cluster", "m0", "m1", "m2")
+    doubt = look.join(own, ["_trace", "c0", "c1", "c2"]).where(meets).select("cell", "cluster", "m0", "m1", "m2")
     close = F.lit(True)
     for k in range(3):
         close &= (F.col(f"v{k}") <= F.col(f"m{k}") * FAR) & (F.col(f"m{k}") <= F.col(f"v{k}") * FAR)

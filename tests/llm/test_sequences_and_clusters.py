@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import clusters as C
@@ -118,10 +119,67 @@ def test_clusters_of_empty_tables(spark):
 
 
 def test_similarity_falls_with_distance():
-    place = np.array([[100, 100, 100], [100, 100, 101], [101, 101, 101], [102, 102, 102], [110, 100, 100]])
+    place = np.array([[100, 100, 100], [100, 100, 101], [101, 101, 101], [102, 102, 102], [103, 100, 100], [110, 100, 100]])
     t = C.token_sets(place)
-    same = [(t[0] == t[i]).mean() for i in range(5)]
-    assert same[0] == 1 and same[1] > same[2] > same[3] > 0 and same[4] == 0
+    same = C.similarity(np.repeat(t[:1], len(t), 0), t)
+    assert same == pytest.approx([1, 7 / 9, 7 / 9, 6 / 10, 5 / 11, 0])
+    assert [s >= C.JACCARD for s in same] == [True, True, True, True, False, False]
+
+
+def _cells(spark):
+    import pyarrow as pa
+
+    rows = C.with_cells(C.points(*[spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("bursts", "burst_events")]))
+    cells = np.array(sorted(r[0] for r in rows.select("cell").distinct().collect()))
+    out = pa.Table.from_batches(list(C._bands(iter([pa.RecordBatch.from_arrays([pa.array(cells)], ["cell"])])))).sort_by([("bucket", "ascending"), ("cell", "ascending")])
+    return cells, out.column("bucket").to_numpy(), out.column("cell").to_numpy()
+
+
+def test_bands_find_similar_records_and_jaccard_decides(spark, monkeypatch):
+    """Recall of the banding over all similar pairs by brute force; without the threshold other records are joined."""
+    cells, bucket, cell = _cells(spark)
+    trace, place = C.unpack_cells(cells)
+    tokens = C.token_sets(place)
+    keys = {}
+    for b, c in zip(bucket.tolist(), cell.tolist()):
+        keys.setdefault(c, set()).add(b)
+    found = total = 0
+    for t in np.unique(trace):
+        own = np.flatnonzero(trace == t)
+        for i in own:
+            later = own[own > i]
+            near = later[C.similarity(np.repeat(tokens[i:i + 1], len(later), 0), tokens[later]) >= C.JACCARD]
+            total += len(near)
+            found += sum(bool(keys[cells[i]] & keys[cells[j]]) for j in near)
+    assert total > 1000 and found >= 0.99 * total
+    joined = dict(zip(*C._stars(bucket, cell)))
+    monkeypatch.setattr(C, "JACCARD", 0.0)
+    assert dict(zip(*C._stars(bucket, cell))) != joined
+
+
+def test_pieces_of_buckets_give_the_same_stars(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    bucket = np.sort(rng.integers(0, 60, 900))
+    cell = (1 << 27) | (rng.integers(50, 70, 900) << 18) | (rng.integers(50, 70, 900) << 9) | 50
+
+    def roots():
+        batches = [pa.RecordBatch.from_arrays([pa.array(bucket[i:i + 70]), pa.array(cell[i:i + 70])], ["bucket", "cell"]) for i in range(0, 900, 70)]
+        pairs = pa.Table.from_batches(list(C._verified(iter(batches))))
+        return C.smallest(pairs.column("a").to_numpy(), pairs.column("b").to_numpy())
+
+    whole = roots()
+    monkeypatch.setattr(C, "PIECE", 100)
+    assert all((x == y).all() for x, y in zip(whole, roots()))
+
+
+def test_trace_ids_of_any_size(spark):
+    rows, events, want = _groups()
+    big = {1: 1 << 62, 2: -5}
+    bursts = spark.createDataFrame([(r[0], big[r[1]], *r[2:]) for r in rows], BURSTS)
+    members, _, isolated = C.clusters(bursts, spark.createDataFrame(events, EVENTS))
+    assert {tuple(r) for r in members.join(isolated.select("cluster", "first"), "cluster").select("instance", "first").collect()} == want
 
 
 def test_split_of_a_loose_component():
