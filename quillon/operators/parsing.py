@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.runtime import salted_join
+from quillon.runtime import cut, dim_join
 
 QUOTE, SPACE, TAB, COMMA, CR, HASH = 34, 32, 9, 44, 13, 35
 NUMBER = r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
@@ -120,7 +120,7 @@ def _note(reason: np.ndarray, rows: np.ndarray, code: int) -> None:
     reason[rows] = code
 
 
-def _burst_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _burst_batch(batch: pa.RecordBatch, with_metrics: bool = True) -> pa.RecordBatch:
     records = batch.column(batch.schema.get_field_index("record"))
     header = batch.column(batch.schema.get_field_index("_header"))
     ix = Index(records, COMMA)
@@ -146,7 +146,7 @@ def _burst_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         _note(reason, rows[over], RANGE)
         whole.append(value)
     cluster = np.zeros(n, np.int64)
-    maps: list[dict[str, float | None] | None] = [None] * n
+    metric_of: dict[int, dict[str, np.ndarray]] = {}  # values by header and name, over all lines of the batch
     for c, cols in enumerate(names):
         at = next((i for i, x in enumerate(cols) if x.lower() == "clusterid"), len(cols) - 1)
         rows = np.flatnonzero((reason == 0) & (codes == c))
@@ -155,10 +155,9 @@ def _burst_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = rows[reason[rows] == 0]
             value, bad = numbers(ix.column(rows, i), nan=j >= 4)
             _note(reason, rows[bad], NOT_NUMBER)
-            for r, v in zip(rows.tolist(), value.tolist()):
-                if maps[r] is None:
-                    maps[r] = {}
-                maps[r][cols[i]] = None if v != v else v
+            if with_metrics:
+                own = metric_of.setdefault(c, {})[cols[i]] = np.full(n, np.nan)
+                own[rows] = value
         rows = rows[reason[rows] == 0]
         if at >= 7:
             cluster[rows], bad, over = integers(ix.column(rows, at), LIMIT_31)
@@ -168,10 +167,27 @@ def _burst_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     keep = np.flatnonzero(~ix.comment)
     bad = reason[keep] != 0
     ints = [pa.array(v[keep], mask=bad) for v in whole]
-    kv = pa.array([None if b else list((maps[r] or {}).items()) for r, b in zip(keep.tolist(), bad.tolist())], pa.map_(pa.string(), pa.float64()))
+    kv = _maps(metric_of, codes[keep], keep, bad) if with_metrics else pa.nulls(len(keep), pa.map_(pa.string(), pa.float64()))
     return _result(batch, keep, reason, [*ints, kv, pa.array(cluster[keep].astype(np.int32), mask=bad)], BURST_SCHEMA)
 
 
+def _maps(metric_of: dict[int, dict[str, np.ndarray]], codes: np.ndarray, rows: np.ndarray, bad: np.ndarray) -> pa.Array:
+    """Name to value of each row's metrics, null for bad rows; a missing value stands as null under its name."""
+    size = np.zeros(len(rows), np.int64)
+    for c, own in metric_of.items():
+        size[(codes == c) & ~bad] = len(own)
+    offsets = np.r_[0, np.cumsum(size)]
+    value, name, names = np.empty(offsets[-1]), np.empty(offsets[-1], np.int64), []
+    for c, own in metric_of.items():
+        at = np.flatnonzero((codes == c) & ~bad)
+        for j, (k, v) in enumerate(own.items()):
+            value[offsets[at] + j], name[offsets[at] + j] = v[rows[at]], len(names)
+            names.append(k)
+    keys = pa.array(names, pa.string()).take(pa.array(name))
+    edges = pa.array(offsets.astype(np.int32), mask=np.r_[bad, False])  # a null offset makes the entry null
+    return pa.MapArray.from_arrays(edges, keys, pa.array(value, mask=np.isnan(value)))
+
+
 def _semantic_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     ix = Index(batch.column(batch.schema.get_field_index("record")), TAB)
     n = ix.n
@@ -212,18 +228,20 @@ def _result(batch: pa.RecordBatch, keep: np.ndarray, reason: np.ndarray, typed:
     return pa.RecordBatch.from_arrays([*keys, why, *typed], names)
 
 
-def _mapper(one: Callable[[pa.RecordBatch], pa.RecordBatch]):
+def _mapper(one: Callable[..., pa.RecordBatch], *arguments: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield one(batch)
+                yield one(batch, *arguments)
 
     return run
 
 
-def parse_burst_lines(lines: DataFrame) -> DataFrame:
+def parse_burst_lines(lines: DataFrame, metrics: bool = True) -> DataFrame:
     """Rows of BURST_SCHEMA: ``reason`` is null for valid lines, whose typed columns are set; else they are null.
 
+    Without ``metrics`` their values are checked but not given.
+
     Headers and comments give no row. A null or blank record is rejected as a blank line, a line of a file
     without a header as such. The header of a file (per trace and file name) is its line with the least
     number; of several with that number the least text that starts with ``#``. Every line id is judged on
@@ -235,8 +253,8 @@ def parse_burst_lines(lines: DataFrame) -> DataFrame:
     first = own.groupBy(*keys).agg(F.min_by(F.regexp_replace("record", "\r$", ""), F.struct("line_no", ~F.coalesce(F.col("record").startswith("#"), F.lit(False)), "record")).alias("_header"))
     # null-safe keys, as a missing trace or file name is a key as well
     safe = [F.coalesce(F.col("trace_id").cast("string"), F.lit("")).alias("_t"), F.coalesce("file_name", F.lit("")).alias("_f")]
-    joined = salted_join(own.select("*", *safe), first.select(*safe, "_header"), ["_t", "_f"])
-    return joined.select("line_id", *keys, "line_no", "record", "_header").mapInArrow(_mapper(_burst_batch), BURST_SCHEMA)
+    joined = dim_join(own.select("*", *safe), cut(first.select(*safe, "_header"), "headers"), ["_t", "_f"])
+    return joined.select("line_id", *keys, "line_no", "record", "_header").mapInArrow(_mapper(_burst_batch, metrics), BURST_SCHEMA)
 
 
 def parse_semantic_lines(lines: DataFrame) -> DataFrame:

@@ -30,14 +30,14 @@ def p1_steps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    burst = parse_burst_lines(table(spark, folder, "burst_csv_lines")).where(F.col("reason").isNotNull())
+    burst = parse_burst_lines(table(spark, folder, "burst_csv_lines"), metrics=False).where(F.col("reason").isNotNull())
     semantic = parse_semantic_lines(table(spark, folder, "semantic_lines")).where(F.col("reason").isNotNull())
     return burst.select(F.lit("burst_csv_lines").alias("raw_table"), "line_id").unionByName(
         semantic.select(F.lit("semantic_lines").alias("raw_table"), "line_id"))
 
 
 def p4_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    burst = parse_burst_lines(table(spark, folder, "burst_csv_lines")).where(F.col("reason").isNotNull())
+    burst = parse_burst_lines(table(spark, folder, "burst_csv_lines"), metrics=False).where(F.col("reason").isNotNull())
     semantic = parse_semantic_lines(table(spark, folder, "semantic_lines")).where(F.col("reason").isNotNull())
     return burst.select(F.lit("burst_csv_lines").alias("raw_table"), "line_id", "reason").unionByName(
         semantic.select(F.lit("semantic_lines").alias("raw_table"), "line_id", "reason"))

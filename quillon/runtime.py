@@ -16,10 +16,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="quillon-"))
     return _own_dir[0]
@@ -46,9 +48,22 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
+    """Removes a written table or file before the driver ends, where its last reader is known."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _written[:] = [w for w in _written if w[1] != path]
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file in the shared folder, by the file system that it names."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -59,9 +74,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Width of a value in memory by type, for values of fixed width; others are taken as WIDE bytes.
+WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "bigint": 8, "double": 8, "timestamp": 8, "date": 4}
+WIDE = 64
+
+
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The larger of Catalyst's size estimate, which for files is that of compressed bytes, and rows times width where it knows rows."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    width = sum(WIDTHS.get(kind, WIDE) for _, kind in df.dtypes)
+    packed = sum(8 for _ in df.dtypes)
+    rows = int(stats.rowCount().get()) if stats.rowCount().isDefined() else 0
+    # compressed columns may hold several times their bytes
+    return max(int(stats.sizeInBytes()) * max(1, -(-width // packed)), rows * width)
 
 
 def dim_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
@@ -76,7 +101,9 @@ def dim_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inne
 
 
 def salted_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
-    salted = facts.withColumn("_salt", (F.rand(7) * salts).cast("int"))
+    """Each fact row takes a salt by the hash of its whole content, so that a task that runs again salts alike."""
+    plain = [c for c, kind in facts.dtypes if "map<" not in kind]
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
     wide = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(wide, [*keys, "_salt"], how).drop("_salt")
 
