@@ -342,6 +342,41 @@ def test_hulls(spark):
         hulls.SHIPPED_CORNERS = old
 
 
+def test_hull_of_many_points_and_copies():
+    rng = np.random.default_rng(9)
+    for points in (rng.normal(size=(3000, 2)), np.round(rng.random((2000, 2)), 1), np.stack([np.arange(200.0), np.arange(200.0)], 1)):
+        at = points[hulls._kept(points, np.arange(len(points)))]
+        edge = np.roll(at, -1, axis=0) - at
+        side = edge[:, None, 0] * (points[None, :, 1] - at[:, None, 1]) - edge[:, None, 1] * (points[None, :, 0] - at[:, None, 0])
+        assert (side >= -1e-9).all() and len(at) < 60
+
+
+def test_points_near_hulls(spark, monkeypatch):
+    """Outside all hulls the nearest corner decides, if it is near and dense enough."""
+    rows = [(i, 1 + i // 4, *xy, 1, 5 if i < 4 else 0) for i, xy in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (2.0, 0.0), (3.0, 0.0), (3.0, 1.0), (2.0, 1.0)])]
+    model = hulls.hulls(spark.createDataFrame(rows, "instance long, cluster_id int, x double, y double, duration long, near long"), "x", "y", near="near")
+    asked = spark.createDataFrame([(1, 0.5, 0.5, 0), (2, 1.1, 0.0, 0), (3, 1.9, 0.0, 0), (4, 1.9, 0.0, 5), (5, 1.5, 0.0, 9), (6, None, 0.0, 9)], "instance long, x double, y double, near long")
+    for corners in (hulls.SHIPPED_CORNERS, 0):
+        monkeypatch.setattr(hulls, "SHIPPED_CORNERS", corners)
+        assert {r[0]: r[1] for r in hulls.classify(asked, model, "x", "y", eps=0.2, min_points=6, near="near").collect()} == {1: 1, 2: 1, 3: 0, 4: 2, 5: 0, 6: 0}
+    near = lambda n: [{"points": [[k, 0.0], [k + 1, 0.0], [k + 0.5, 1.0]], "near": [n] * 3, "density": 3, "total_time": 1} for k in (0, 1.1)]
+    assert [len(hulls.merge(near(n), 0.2, 8)) for n in (5, 4)] == [1, 2] and len(hulls.merge(near(5))) == 2
+
+
+def test_tree_of_backends(spark):
+    """Clusters spread over four backends, one of them too thin in each, come out as of all points at once."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for c, (x, y, n) in enumerate([(0, 0, 200), (3, 0, 120), (0, 3, 14)]):
+        rows += [(len(rows) + i, float(x + a), float(y + b), i % 4, 10, c) for i, (a, b) in enumerate(rng.random((n, 2)) * 0.4)]
+    rows.append((5000, 9.0, 9.0, 0, 10, -1))
+    df = spark.createDataFrame(rows, "instance long, x double, y double, backend int, duration long, truth int")
+    model, found = hulls.tree_clustering(df, "x", "y", "backend", 0.35, 8)
+    assert [r["density"] for r in model.orderBy("cluster_id").collect()] == [200, 120, 14]
+    got = {r[0]: r[1] for r in found.collect()}
+    assert all(got[i] == t + 1 for i, *_, t in rows)
+
+
 def test_centroids(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(c, 0.05, (80, 2)) for c in ((0, 0), (1, 1), (0, 2))])
