@@ -88,6 +88,6 @@ def without_late_types(inside: DataFrame, keys: Sequence[str] = ("task", "thread
     return marked.where(F.col("_change").isNull() | (F.col("_first") <= F.col("_change"))).drop("_change", "_first")
 
 
-def by_line(partition: DataFrame, bursts: DataFrame) -> DataFrame:
-    """Cluster ids to bursts by the line of their record; a burst without one gets null."""
-    return bursts.join(partition.select("line", "cluster_id"), "line", "left")
+def by_line(partition: DataFrame, rows: DataFrame, give: Sequence[str] = ("cluster_id",), keys: Sequence[str] = ("line",)) -> DataFrame:
+    """``give`` of a partition to rows by the line of their record; a row without one gets null."""
+    return rows.join(partition.select(*keys, *give), list(keys), "left")

@@ -160,6 +160,44 @@ def clara(points: DataFrame, dims: Sequence[str], k: int, samples: int = 5, size
     return medoids, own
 
 
+def medoids(points: DataFrame, dims: Sequence[str], k: int, rounds: int = 20) -> tuple[list[list[float]], DataFrame]:
+    """K medoids over all points, and the points with their nearest one (cluster_id from 1).
+
+    Starts from the medoids of a sample. Each round all points go to their nearest medoid, and of each cluster's points
+    the one nearest to its mean is the next medoid if that lowers the cluster's sum of distances over all its points.
+    """
+    rows = points.dropna(subset=list(dims))
+    centres, _ = clara(rows, dims, k, samples=1)
+    for _ in range(rounds if centres else 0):
+        here = assign(rows, dims, centres)
+        near = {r["centre"]: [r[f"m_{d}"] for d in dims] for r in here.groupBy("centre").agg(*[F.avg(d).alias(f"m_{d}") for d in dims]).collect()}  # one row per medoid
+        to_mean = F.coalesce(*[F.when(F.col("centre") == c, sum(((F.col(d) - float(v)) * (F.col(d) - float(v)) for d, v in zip(dims, m)), F.lit(0.0))) for c, m in near.items()])
+        best = {r["centre"]: list(r["p"]) for r in here.groupBy("centre").agg(F.min_by(F.struct(*dims), F.struct(to_mean, F.col("id"))).alias("p")).collect()}
+        other = F.coalesce(*[F.when(F.col("centre") == c, F.sqrt(sum(((F.col(d) - float(v)) * (F.col(d) - float(v)) for d, v in zip(dims, p)), F.lit(0.0)))) for c, p in best.items()])
+        better = {r["centre"] for r in here.groupBy("centre").agg(F.sum(F.sqrt("d2")).alias("old"), F.sum(other).alias("new")).where("new < old - 1e-12").collect()}
+        if not better:
+            break
+        centres = [[float(v) for v in best[i]] if i in better else c for i, c in enumerate(centres)]
+    if not centres:
+        return [], points.select("id", F.lit(0).alias("cluster_id"))
+    own = assign(rows, dims, centres).select("id", (F.col("centre") + 1).alias("cluster_id"))
+    return centres, points.select("id").join(own, "id", "left").select("id", F.coalesce("cluster_id", F.lit(0)).alias("cluster_id"))
+
+
+def silhouette(points: DataFrame, dims: Sequence[str], centres: Sequence[Sequence[float]]) -> float:
+    """Mean over all points of how much nearer their medoid is than the next one, from 0 to 1."""
+    each = F.array_sort(F.array(*[F.sqrt(sum(((F.col(d) - float(v)) * (F.col(d) - float(v)) for d, v in zip(dims, c)), F.lit(0.0))) for c in centres]))
+    own, other = F.get(each, F.lit(0)), F.get(each, F.lit(1))
+    return float(points.dropna(subset=list(dims)).agg(F.avg(F.when(other > 0, (other - own) / other).otherwise(0.0))).first()[0] or 0.0)
+
+
+def best_medoids(points: DataFrame, dims: Sequence[str], most: int) -> tuple[list[list[float]], DataFrame]:
+    """Medoids over all points for the number of clusters, from 2 to ``most``, of the largest mean silhouette; ties to the smaller."""
+    trials = [medoids(points, dims, k) for k in range(2, max(most, 2) + 1)]
+    scores = [silhouette(points, dims, c) if len(c) > 1 else 0.0 for c, _ in trials]
+    return trials[int(np.argmax(scores))]
+
+
 def knee_window(df: DataFrame) -> DataFrame:
     """Steps between neighbouring sorted distances of each k."""
     return df.withColumn("step", F.col("dist") - F.lead("dist").over(Window.partitionBy("k").orderBy(F.desc("dist"), "id")))

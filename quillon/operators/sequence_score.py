@@ -45,10 +45,18 @@ def score_by_cluster(aligned: DataFrame, weights: DataFrame, threads: int, clust
 
 
 def identical_columns(aligned: DataFrame, cluster: str = "cluster_id") -> DataFrame:
-    """Sets of clusters (of two or more) that occupy the same aligned columns; cluster and the least of its set."""
-    sets = aligned.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.sort_array(F.collect_set(F.struct(*_column(aligned)))).alias("_cols"))
-    same = sets.groupBy("_cols").agg(F.min(cluster).alias("merged"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return sets.join(same, "_cols").select(cluster, "merged")
+    """Sets of clusters (of two or more) that occupy the same aligned columns; cluster and the least of its set.
+
+    Clusters with equal counts and sums of hashes of their columns are compared column by column with the least of them.
+    """
+    keys = _column(aligned)
+    sets = cut(aligned.where(F.col(cluster).isNotNull()).select(cluster, *keys).distinct().withColumn("_h", F.xxhash64(*keys)), "columns")
+    prints = sets.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("_h").cast("decimal(38,0)")).alias("_s"))
+    least = prints.groupBy("_n", "_s").agg(F.min(cluster).alias("merged"), F.count(F.lit(1)).alias("_of")).where("_of > 1")
+    pairs = prints.join(least, ["_n", "_s"]).select(cluster, "merged", "_n")
+    theirs = sets.select(F.col(cluster).alias("merged"), *keys)
+    equal = sets.join(pairs, cluster).join(theirs, ["merged", *keys]).groupBy(cluster, "merged").agg(F.count(F.lit(1)).alias("_same"), F.max("_n").alias("_n"))
+    return equal.where("_same = _n").select(cluster, "merged")
 
 
 # ---------------------------------------------------------------- alignment

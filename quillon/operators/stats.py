@@ -61,3 +61,9 @@ def long_form(stats: DataFrame, cluster: str, rows: Sequence[str], noise: int =
     """K2 without a bound on its columns: (statistic, cluster, v) for every cluster of ``stats``."""
     name = F.when(F.col(cluster) == noise, "NOISE").otherwise(F.concat(F.lit("Cluster "), F.col(cluster).cast("string")))
     return stats.select(name.alias("cluster"), F.inline(F.array(*[F.struct(F.lit(r).alias("statistic"), F.col(r).cast("double").alias("v")) for r in rows]))).select("statistic", "cluster", "v")
+
+
+def run_averages(runs: DataFrame, keys: Sequence[str], metrics: Sequence[str], whole: Sequence[str] = ()) -> DataFrame:
+    """Means over the backends of each run; those of ``whole`` (numbers of points and hulls) without their fraction."""
+    means = [F.avg(m).cast("long").alias(m) if m in whole else F.avg(m).alias(m) for m in metrics]
+    return runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("backends"), *means)

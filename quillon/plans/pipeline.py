@@ -17,7 +17,7 @@ from quillon.operators.ranks import ranked
 from quillon.operators.sequence_score import aligned_sequences, identical_columns, score_by_cluster
 from quillon.operators.stats import cluster_stats, rank_clusters
 from quillon.runtime import cut, dim_join
-from quillon.sources import sinks, trace_text
+from quillon.sources import formats, sinks, trace_text
 
 Algorithm = Callable[[DataFrame, Sequence[str], dict[str, str]], DataFrame]
 #: Clustering algorithms by name; each takes points (id and dims) and gives (id, cluster_id).
@@ -25,9 +25,9 @@ ALGORITHMS: dict[str, Algorithm] = {
     "DBSCAN": lambda p, d, a: dbscan(p, d, float(a["epsilon"]), int(a["min_points"])),
     "GMEANS": lambda p, d, a: centroid.gmeans(p, d, float(a["critical_value"]), int(a.get("max_clusters", 30))),
     "MUSTER_DBSCAN": lambda p, d, a: dbscan(p, d, float(a["epsilon"]), int(a["min_points"])),
-    "MUSTER_PAM": lambda p, d, a: centroid.clara(p, d, int(a["max_clusters"]), samples=1)[1],
+    "MUSTER_PAM": lambda p, d, a: centroid.best_medoids(p, d, int(a["max_clusters"]))[1],
     "MUSTER_XCLARA": lambda p, d, a: centroid.clara(p, d, int(a["max_clusters"]))[1],
-    "MUSTER_CAPEK": lambda p, d, a: centroid.clara(p, d, int(a["k"]))[1],
+    "MUSTER_CAPEK": lambda p, d, a: centroid.medoids(p, d, int(a["k"]))[1],
 }
 
 
@@ -75,6 +75,12 @@ class Analysis:
         return joined.select("instance", F.col("task").alias("task_id"), F.col("thread").alias("thread_id"), F.col("begin").alias("begin_time"),
                              F.col("end").alias("end_time"), (F.col("end") - F.col("begin")).alias("duration"), "line", "counters")
 
+    def from_simulator(self, lines: DataFrame) -> DataFrame:
+        """Bursts of the simulator's records, which know durations but no times."""
+        own = ranked(formats.simulator_bursts(lines), [], ["line", "task", "thread"], "instance")
+        nothing = F.lit(None).cast("long")
+        return own.select("instance", F.col("task").alias("task_id"), F.col("thread").alias("thread_id"), nothing.alias("begin_time"), nothing.alias("end_time"), "duration", "line", "counters")
+
     def prepare(self, bursts: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         """Metrics, burst types, normalised metrics n_<name> and extrapolated ones x_<name>.
 

@@ -301,7 +301,7 @@ def line_gather(spark: SparkSession, folder: str) -> DataFrame:
     """Cluster ids brought back to bursts by the line of their record, per trace."""
     own = bursts(spark, folder).where("line is not null")
     ids = own.groupBy("trace_id", "line").agg(F.max("cluster_id").alias("cluster_id"))
-    return own.select("instance", "trace_id", "line").join(ids, ["trace_id", "line"], "left").select("instance", "line", "cluster_id")
+    return assembly.by_line(ids, own.select("instance", "trace_id", "line"), keys=["trace_id", "line"]).select("instance", "line", "cluster_id")
 
 
 # ---------------------------------------------------------------- neighbours and density
@@ -442,9 +442,18 @@ def score_by_cluster(spark: SparkSession, folder: str) -> DataFrame:
     return sequence_score.score_by_cluster(own, weights, threads).select("cluster_id", F.round("score", 9).alias("score"), "occurrences", F.round("weighted", 9).alias("weighted"))
 
 
+@query("""WITH q AS (SELECT DISTINCT c_nationkey AS cluster_id, n_regionkey AS col FROM customer JOIN nation ON n_nationkey = c_nationkey), s AS (SELECT cluster_id, list_sort(list(col)) AS cols FROM q GROUP BY cluster_id),
+    m AS (SELECT cols, min(cluster_id) AS merged, count(*) AS n FROM s GROUP BY cols) SELECT cluster_id, merged FROM s JOIN m USING (cols) WHERE n > 1""")
+def identical_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Nations as clusters and regions as columns: those of one region occupy the same."""
+    nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("col"))
+    return sequence_score.identical_columns(table(spark, folder, "customer").join(nations, "c_nationkey").select(F.col("c_nationkey").alias("cluster_id"), "col"))
+
+
 @query(f"""WITH {_SEQ}, s AS (SELECT cluster_id, list_sort(list(DISTINCT position)) AS cols FROM q0 GROUP BY cluster_id), m AS (SELECT cols, min(cluster_id) AS merged, count(*) AS n FROM s GROUP BY cols)
     SELECT cluster_id, merged FROM s JOIN m USING (cols) WHERE n > 1""")
-def identical_columns(spark: SparkSession, folder: str) -> DataFrame:
+def identical_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """Positions as columns; clusters of the same ones are rare."""
     return sequence_score.identical_columns(_positions(spark, folder).withColumnRenamed("position", "col"))
 
 
@@ -464,6 +473,18 @@ def aligned_scores(spark: SparkSession, folder: str) -> DataFrame:
     return per.groupBy("trace_id", "cluster_id").agg(F.round(F.avg(F.col("n") / F.col("threads")), 6).alias("score"), F.sum("n").alias("occurrences"))
 
 
+@query(f"""WITH {_SEQ}, t AS (SELECT count(*) AS n FROM (SELECT DISTINCT trace_id, task_id, thread_id FROM q0)), o AS (SELECT position, cluster_id, count(*) AS k FROM q0 GROUP BY ALL),
+    w AS (SELECT cluster_id, sum(duration) / (SELECT sum(duration) FROM b0 WHERE cluster_id >= 5) AS weight FROM b0 WHERE cluster_id >= 5 GROUP BY cluster_id),
+    p AS (SELECT cluster_id - 5 AS c, avg(k / n) AS score, CAST(sum(k) AS BIGINT) AS occurrences, avg(k / n) * any_value(weight) AS weighted FROM o JOIN w USING (cluster_id), t GROUP BY cluster_id)
+    SELECT CASE WHEN c = 0 THEN 'NOISE' ELSE 'Cluster ' || c END AS cluster, round(score, 9) AS score, occurrences, round(weighted, 9) AS weighted FROM p
+    UNION ALL SELECT 'GLOBAL', round(sum(weighted), 9), CAST(sum(occurrences) AS BIGINT), round(sum(weighted), 9) FROM p""")
+def scores_csv(spark: SparkSession, folder: str) -> DataFrame:
+    own = cut(_positions(spark, folder).withColumnRenamed("position", "col"), "positions").withColumn("cluster_id", F.col("cluster_id") - 5)
+    threads = own.select("trace_id", "task_id", "thread_id").distinct().count()
+    weights = stats.cluster_stats(bursts(spark, folder).where("cluster_id >= 5")).select((F.col("cluster_id") - 5).alias("cluster_id"), F.col("share").alias("weight"))
+    return sinks.scores_csv(sequence_score.score_by_cluster(own, weights, threads)).select("cluster", F.round("score", 9).alias("score"), "occurrences", F.round("weighted", 9).alias("weighted"))
+
+
 # ---------------------------------------------------------------- hulls and grids
 
 
@@ -601,6 +622,30 @@ def annotated_states(spark: SparkSession, folder: str) -> DataFrame:
     return marks.select("task", "thread", "ts", F.array_join(F.transform("pairs", lambda p: F.concat_ws(":", p["event_type"], p["event_value"])), ":").alias("pairs"))
 
 
+_N = "CAST(coalesce(cluster_id, 0) + 5 AS BIGINT)"
+
+
+@query(f"""WITH {_B}, n AS (SELECT *, {_N} AS v FROM b0 WHERE duration >= 0), u AS (SELECT instance AS line, 0 AS part, printf('"user event" {{{{ %d, %d, 90000001, %d }}}};;', task_id, thread_id, v) AS value FROM n
+    UNION ALL SELECT instance, 1, printf('"block begin" {{{{ %d, %d, %d }}}};;', task_id, thread_id, v) FROM n UNION ALL SELECT instance, 2, printf('"CPU burst" {{{{ %d, %d, %d.%06d }}}};;', task_id, thread_id, (duration + 500) // 1000000000, ((duration + 500) // 1000) % 1000000) FROM n
+    UNION ALL SELECT instance, 3, printf('"block end" {{{{ %d, %d, %d }}}};;', task_id, thread_id, v) FROM n UNION ALL SELECT instance, 4, printf('"user event" {{{{ %d, %d, 90000001, 0 }}}};;', task_id, thread_id) FROM n) SELECT line, CAST(part AS INTEGER) AS part, value FROM u""".replace("{{", "{").replace("}}", "}"))
+def annotated_simulator(spark: SparkSession, folder: str) -> DataFrame:
+    """Bursts as the simulator's records, with cluster events and blocks around each."""
+    own = bursts(spark, folder).where("duration >= 0")
+    lines = own.select(F.col("instance").alias("line"), sinks.cpu_burst(F.col("task_id"), F.col("thread_id"), F.col("duration")).alias("value"))
+    return sinks.annotated_simulator(lines, own.drop("line").withColumnRenamed("instance", "line"), blocks=True)
+
+
+@query(f"WITH {_B} SELECT instance, concat_ws(',', instance, task_id, thread_id, begin_time, coalesce(end_time::VARCHAR, 'nan'), coalesce(duration::VARCHAR, 'nan'), line, cluster_id) AS value FROM b0 WHERE burst_type = 0 AND cluster_id IS NOT NULL")
+def bursts_csv_clustered(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.burst_csv_rows(bursts(spark, folder), [], [], [], offset=0, scope="clustering")
+
+
+@query(f"WITH {_B} SELECT trace_id, task_id, count(*) AS backends, avg(d_ipc) AS d_ipc, CAST(floor(avg(line)) AS BIGINT) AS line FROM b0 WHERE line IS NOT NULL GROUP BY ALL")
+def run_averages(spark: SparkSession, folder: str) -> DataFrame:
+    """Traces as experiments, tasks as runs."""
+    return stats.run_averages(bursts(spark, folder).where("line is not null"), ["trace_id", "task_id"], ["d_ipc", "line"], whole=["line"])
+
+
 @query(f"WITH {_KNN} SELECT CAST(rank - 1 AS INTEGER) AS k, printf('%.6f', sqrt(d2)) AS value FROM k1 WHERE rank = 5")
 def kdist_file(spark: SparkSession, folder: str) -> DataFrame:
     own = parts(spark, folder)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.model import CLUSTER_EVENT, FILE_OFFSET, MISSING_DATA
+from quillon.operators.assembly import as_of, by_line
 from quillon.sources.trace_text import event_lines
 
 #: Colours of clusters in label files and plots, repeated in turn.
@@ -20,12 +21,16 @@ def number(c: str, decimals: int) -> Column:
     return F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), "nan").otherwise(F.format_string(f"%.{decimals}f", F.col(c).cast("double")))
 
 
-def burst_csv_rows(bursts: DataFrame, raw: Sequence[str], normal: Sequence[str], extra: Sequence[str], ratios: Sequence[str] = (), offset: int = FILE_OFFSET) -> DataFrame:
-    """K1: (instance, value): CSV rows of bursts without those of missing data; ratio metrics have 6 decimals, others none."""
+def burst_csv_rows(bursts: DataFrame, raw: Sequence[str], normal: Sequence[str], extra: Sequence[str], ratios: Sequence[str] = (), offset: int = FILE_OFFSET, scope: str = "all") -> DataFrame:
+    """K1: (instance, value): CSV rows of bursts without those of missing data; ratio metrics have 6 decimals, others none.
+
+    The ``scope`` is all of them, the "complete" ones, or those a "clustering" has given an id.
+    """
     keys = ["instance", "task_id", "thread_id", "begin_time", "end_time", "duration", "line"]
     shown = [F.coalesce(F.col(k).cast("string"), F.lit("nan")) for k in keys]
     shown += [number(c, 6 if c in ratios else 0) for c in raw] + [number(c, 6) for c in normal] + [number(c, 6 if c in ratios else 0) for c in extra]
-    rows = bursts.where(F.col("burst_type") != MISSING_DATA)
+    within = {"all": F.col("burst_type") != MISSING_DATA, "complete": F.col("burst_type") == 0, "clustering": (F.col("burst_type") == 0) & F.col("cluster_id").isNotNull()}
+    rows = bursts.where(within[scope])
     return rows.select("instance", F.concat_ws(",", *shown, (F.coalesce("cluster_id", F.lit(0)) + offset).cast("string")).alias("value"))
 
 
@@ -79,9 +84,9 @@ def hull_plot(points: Sequence[tuple[float, float]], cluster: int) -> str:
 
 
 def annotations(bursts: DataFrame, hide_filtered: bool = False) -> DataFrame:
-    """K4-K6: cluster events of bursts: id + offset at the begin, 0 at the end; where one burst ends as the next begins, close comes before open in one record.
+    """K4, K6: cluster events of bursts, from running states or semantic regions: id + offset at the begin, 0 at the end; where one burst ends as the next begins, close comes before open in one record.
 
-    Rows (task, thread, ts, pairs). The offset is added once (K7 of the simulator's format as well).
+    Rows (task, thread, ts, pairs). The offset is added once.
     """
     own = bursts.where(F.col("burst_type") == 0) if hide_filtered else bursts
     marks = own.where(F.col("end_time").isNotNull()).select("task_id", "thread_id", F.explode(F.array(
@@ -99,6 +104,56 @@ def annotated(lines: DataFrame, marks: DataFrame, only_events: bool = False) ->
     return (events if only_events else lines.select("ts", "line", "value").unionByName(events)).orderBy("ts", "line", "value")
 
 
+def annotated_events(lines: DataFrame, bursts: DataFrame) -> DataFrame:
+    """K5: (line, part, value): the log with a cluster event after the record that opens a region, and a 0 where it ends.
+
+    Regions are found by the line of their opening record (J10); the 0 stands in the record of the opening event if the
+    next region of the thread begins as one ends, else in one of its own, which is given the line of the last record
+    before it in time. ``lines`` has line and value.
+    """
+    field = lambda i: F.get(F.split("value", ":"), F.lit(i)).try_cast("long")
+    opened = by_line(bursts.select("line", "cluster_id"), lines.where(F.col("value").startswith("2:"))).where(F.col("cluster_id").isNotNull())
+    head = F.substring_index("value", ":", 6)
+    begins = opened.select("line", F.lit(1).alias("part"), (field(3) - 1).alias("task"), (field(4) - 1).alias("thread"), field(5).alias("ts"), head.alias("head"), (F.col("cluster_id") + FILE_OFFSET).cast("long").alias("v"))
+    ends = bursts.where(F.col("end_time").isNotNull()).select(F.col("task_id").alias("task"), F.col("thread_id").alias("thread"), F.col("end_time").alias("ts"))
+    closed = begins.join(ends.distinct().withColumn("_closes", F.lit(True)), ["task", "thread", "ts"], "left")
+    event = lambda v: F.concat_ws(":", F.lit(str(CLUSTER_EVENT)), v)
+    opening = closed.select("line", "part", F.concat_ws(":", "head", F.when(F.col("_closes"), event(F.lit("0"))), event(F.col("v"))).alias("value"))
+    alone = ends.distinct().join(begins.select("task", "thread", "ts"), ["task", "thread", "ts"], "left_anti")
+    timed = lines.where(F.col("value").rlike("^[1-4]:")).select((field(3) - 1).alias("task"), (field(4) - 1).alias("thread"), field(5).alias("_at"), "line")
+    placed = as_of(alone.withColumn("ts", F.col("ts") + 1), timed, ["task", "thread"], begin="_at", payload=("line",), tie="line")
+    closing = placed.select(F.coalesce("line", F.lit(0)).alias("line"), F.lit(2).alias("part"), F.concat_ws(":", F.lit("2:0:1"), F.col("task") + 1, F.col("thread") + 1, F.col("ts") - 1, event(F.lit("0"))).alias("value"))
+    return lines.select("line", F.lit(0).alias("part"), "value").unionByName(opening).unionByName(closing)
+
+
+def user_event(task: Column, thread: Column, kind: Column, value: Column) -> Column:
+    """A user event of the simulator's records."""
+    return F.format_string('"user event" { %d, %d, %d, %d };;', task, thread, kind, value)
+
+
+def block(edge: str, task: Column, thread: Column, number: Column) -> Column:
+    """X9: "begin" or "end" of a block."""
+    return F.format_string(f'"block {edge}" {{ %d, %d, %d }};;', task, thread, number)
+
+
+def cpu_burst(task: Column, thread: Column, nanoseconds: Column) -> Column:
+    """A burst; the simulator counts in seconds, here to the microsecond, halves up."""
+    micros = F.floor((nanoseconds + 500) / 1000).cast("long")
+    return F.format_string('"CPU burst" { %d, %d, %d.%06d };;', task, thread, F.floor(micros / 10**6).cast("long"), F.pmod(micros, F.lit(10**6)))
+
+
+def annotated_simulator(lines: DataFrame, bursts: DataFrame, blocks: bool = False, replace: bool = False) -> DataFrame:
+    """K7: (line, part, value): the simulator's records with cluster events, and ``blocks``, around each burst's record.
+
+    The offset is added to the id once. With ``replace`` the id stands for the duration. Other records stay as they are.
+    """
+    known = by_line(bursts.select("line", "task_id", "thread_id", "duration", "cluster_id"), lines, ["task_id", "thread_id", "duration", "cluster_id"])
+    task, thread, number = F.col("task_id"), F.col("thread_id"), (F.coalesce("cluster_id", F.lit(0)) + FILE_OFFSET).cast("long")
+    burst = F.format_string('"CPU burst" { %d, %d, %d };;', task, thread, number) if replace else cpu_burst(task, thread, F.col("duration"))
+    parts = [user_event(task, thread, F.lit(CLUSTER_EVENT), number), *([block("begin", task, thread, number)] if blocks else []), burst, *([block("end", task, thread, number)] if blocks else []), user_event(task, thread, F.lit(CLUSTER_EVENT), F.lit(0))]
+    return known.select("line", F.posexplode(F.when(task.isNull(), F.array("value")).otherwise(F.array(*parts))).alias("part", "value"))
+
+
 def label_block(clusters: Sequence[int]) -> str:
     """K8: the cluster event type with its values, to append to a label file."""
     rows = [f"{c + FILE_OFFSET}   {'Noise' if c == 0 else f'Cluster {c}'}" for c in clusters]

@@ -521,6 +521,59 @@ def test_definition_of_logs_ranges_and_means_on_a_log_in_microseconds(spark):
     assert [m.name for m in plain.metrics] == ["Semantic_Value", "Duration", "INS", "IPC"]
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from quillon import cli
+
+    lines = ["#Log (01/01/2020 at 10:00):900000_ns:1(2):1:2(1:1,1:1)"]
+    for task in (1, 2):
+        t = 0
+        for k in range(12):
+            size = [2000, 50000][k % 2] + 10 * k
+            end = t + 20000 + size
+            lines += [f"1:1:1:{task}:1:{t}:{end}:1", f"2:1:1:{task}:1:{end}:42000050:{size}:42000059:{2 * size}"]
+            t = end + 10
+    (tmp_path / "log").write_text("\n".join(lines))
+    (tmp_path / "definition.xml").write_text(XML)
+    (tmp_path / "labels").write_text("EVENT_TYPE\n9    42000050    (PAPI_TOT_INS) Instructions\n9    42000059    (PAPI_TOT_CYC) Cycles\n")
+    of = lambda *a: [str(tmp_path / x[1:]) if x.startswith("@") else x for x in a]
+    assert cli.main(of("cluster", "-i", "@log", "-d", "@definition.xml", "-l", "@labels", "-o", "@out", "-s", "--annotate"), spark) == 0
+    rows = [r.value for r in spark.read.text(str(tmp_path / "out/bursts")).collect()]
+    assert len(rows) == 25 and rows[0].startswith("# Instance,TaskId") and rows[0].endswith("x_PAPI_TOT_CYC,ClusterID")
+    assert sorted({r.split(",")[-1] for r in rows[1:]}) == ["6", "7"]
+    info = {(r["statistic"], r["cluster"]): float(r["v"]) for r in spark.read.option("header", True).csv(str(tmp_path / "out/clusters_info")).collect()}
+    assert info["density", "Cluster 1"] == 12 and info["avg_x_PAPI_TOT_CYC", "Cluster 1"] == pytest.approx(2 * (50000 + 60))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out/scores")).where("cluster = 'GLOBAL'").count() == 1
+    assert spark.read.text(str(tmp_path / "out/log")).where("value like '%90000001%'").count() == 48
+    cli.main(of("kdist", "-i", "@log", "-d", "@definition.xml", "-l", "@labels", "-o", "@out", "-k", "2,3"), spark)
+    assert spark.read.text(str(tmp_path / "out/kdist")).count() == 48
+    cli.main(of("score", "-i", "@out/bursts", "-o", "@scored"), spark)
+    assert spark.read.option("header", True).csv(str(tmp_path / "scored/scores")).count() == 3
+    capsys.readouterr()
+    cli.main(of("diff", "-1", "@out/bursts", "-2", "@out/bursts"), spark)
+    assert float(capsys.readouterr().out) == 0.0
+    (tmp_path / "records").write_text("SDDFA;;\n" + "\n".join(f'"CPU burst" {{ 0, 0, 0.0{k + 1} }};;\n"user event" {{ 0, 0, 42000050, {k + 5} }};;\n"user event" {{ 0, 0, 42000059, 7 }};;' for k in range(4)))
+    cli.main(of("extract", "-i", "@records", "-d", "@definition.xml", "-o", "@plain"), spark)
+    assert spark.read.text(str(tmp_path / "plain/bursts")).count() == 5
+
+
+def test_annotated_events_by_line(spark):
+    lines = spark.createDataFrame([(1, "#head"), (2, "2:1:1:1:1:10:5:1"), (3, "2:1:1:1:1:15:8:3"), (4, "2:1:1:1:1:20:5:2"), (5, "2:1:1:1:1:30:7:7")], "line long, value string")
+    bursts = spark.createDataFrame([(2, 0, 0, 10, 20, 1), (4, 0, 0, 20, 28, 2)], "line long, task_id long, thread_id long, begin_time long, end_time long, cluster_id int")
+    got = [r["value"] for r in sinks.annotated_events(lines, bursts).orderBy("line", "part").collect()]
+    assert got == ["#head", "2:1:1:1:1:10:5:1", "2:1:1:1:1:10:90000001:6", "2:1:1:1:1:15:8:3", "2:1:1:1:1:20:5:2", "2:1:1:1:1:20:90000001:0:90000001:7", "2:0:1:1:1:28:90000001:0", "2:1:1:1:1:30:7:7"]
+
+
+def test_medoids_of_all_points(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([c + rng.normal(0, 0.05, (60, 2)) for c in ([0, 0], [1, 0], [0, 1])] + [[[9.0, 9.0]]])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(999, None, 1.0)], "id long, x double, y double")
+    centres, own = centroid.best_medoids(df.where("id < 180 or id > 900"), ["x", "y"], 5)
+    labels = {r[0]: r[1] for r in own.collect()}
+    assert len(centres) == 3 and labels[999] == 0 and all(len({labels[i] for i in range(s, s + 60)}) == 1 for s in (0, 60, 120))
+    _, four = centroid.medoids(df, ["x", "y"], 4)
+    assert {r[0]: r[1] for r in four.collect()}[180] not in {r[1] for r in four.where("id < 180").collect()}
+
+
 def test_streamed_assembly_equals_batch(spark, tmp_path):
     from quillon.streaming import bursts as S
 
