@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quillon.llm.cells import prose
 from quillon.llm.tokens import publish
 from quillon.llm.words import slices
+from quillon.runtime import dim_join
 
 GRAMS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -160,7 +161,7 @@ def fit(texts: list[str], labels: np.ndarray, doc: np.ndarray, classes: int) ->
 def denoted(docs: DataFrame, names: DataFrame, label: str = "lang") -> DataFrame:
     """The language that the trimmed, lower-cased label of each row denotes, as ``_denoted``; null if none."""
     fixed = names.select(F.col("label").alias("_label"), F.col("lang").alias("_denoted")).dropDuplicates(["_label"])
-    return docs.withColumn("_label", F.lower(F.trim(F.regexp_replace(F.col(label), r"^\s+|\s+$", "")))).join(F.broadcast(fixed), "_label", "left").drop("_label")
+    return dim_join(docs.withColumn("_label", F.lower(F.trim(F.regexp_replace(F.col(label), r"^\s+|\s+$", "")))), fixed, ["_label"], "left").drop("_label")
 
 
 def learn(docs: DataFrame, names: DataFrame) -> tuple[list[str], Model]:

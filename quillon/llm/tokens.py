@@ -9,7 +9,6 @@ ones exactly by the tokenizer's ranks, and spreads the ids over the documents.
 from __future__ import annotations
 
 import base64
-import io
 import os
 from collections.abc import Iterator
 from functools import cache
@@ -17,12 +16,13 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.lexicon import Lexicon
 from quillon.llm.words import slices, words_of
-from quillon.runtime import new_path
+from quillon.runtime import new_path, write_bytes
 
 TOKENIZERS = "/opt/tokenizers"
 LEXICON_WORDS = 50_000  #: words in the lexicon; all others are merged by rank, with the same result
@@ -79,15 +79,13 @@ def build_lexicon(docs: DataFrame, text: str, folder: str) -> bytes:
 
 
 def publish(spark: SparkSession, blob: bytes, name: str):  # noqa: ANN201
-    """A function that gives the array in a worker: mapped from the shared folder, or from a broadcast if that isn't a file system."""
+    """A function that gives the array in a worker, mapped from the shared folder or, if that isn't a file system, from the copy that each executor fetches of it."""
     path = new_path(spark, name)
+    write_bytes(spark, path, blob)
     if path.startswith("file:") or path.startswith("/"):
-        local = "/" + path.removeprefix("file:").lstrip("/")
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        with open(local, "wb") as f:
-            f.write(blob)
-        return _Mapped(local)
-    return _Sent(spark.sparkContext.broadcast(blob))  # of bounded size: LEXICON_WORDS words of WORD_BYTES bytes
+        return _Mapped("/" + path.removeprefix("file:").lstrip("/"))
+    spark.sparkContext.addFile(path)
+    return _Fetched(path.rsplit("/", 1)[1])
 
 
 class _Mapped:
@@ -98,12 +96,12 @@ class _Mapped:
         return np.load(self.path, mmap_mode="r")
 
 
-class _Sent:
-    def __init__(self, value) -> None:  # noqa: ANN001
-        self.value = value
+class _Fetched:
+    def __init__(self, name: str) -> None:
+        self.name = name
 
     def __call__(self) -> np.ndarray:
-        return np.load(io.BytesIO(self.value.value))
+        return np.load(SparkFiles.get(self.name), mmap_mode="r")
 
 
 class Encoder:
