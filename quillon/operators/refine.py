@@ -88,12 +88,16 @@ def worth_splitting(node: Node, time: int, occurrences: int) -> bool:
 
 
 def refine_divisive(points: DataFrame, dims: Sequence[str], ladder: Sequence[float], min_points: int, score: Score, candidate: Callable[[Node, int, int], bool] = worth_splitting) -> tuple[DataFrame, list[Node]]:
-    """Density clustering at falling eps inside candidate nodes; a split is kept unless it is all noise, loses 60 % of the time to noise, or scores below 80 % of its parent."""
+    """Density clustering at falling eps inside candidate nodes; a split is kept unless it is all noise, loses 60 % of the time to noise, or scores below 80 % of its parent.
+
+    At the end the noise of each split goes to the nearest of its clusters (C27), and single children are taken out of the tree (C26).
+    """
     labels = cut(dbscan(points.select("id", *dims), dims, ladder[0], min_points), "labels")
     timed = points.select("id", "duration")
     scores, sizes = score(labels), _summary(labels.join(timed, "id"))
     nodes = [Node(c, 0, *scores.get(c, (0.0, 0)), *sizes[c]) for c in sorted(sizes)]
     live = list(nodes)
+    splits: list[DataFrame] = []
     for level, eps in enumerate(ladder[1:], 1):
         time, occurrences = sum(n.time for n in live), sum(n.occurrences for n in live)
         grown: list[Node] = []
@@ -114,12 +118,27 @@ def refine_divisive(points: DataFrame, dims: Sequence[str], ladder: Sequence[flo
             if weighted < 0.8 * node.score:
                 continue
             labels = trial
+            splits.append(parts)
             grown += [Node(base + k, level, *fresh.get(base + k, (0.0, 0)), r, t, [node.id]) for k, (r, t) in sorted(part_sizes.items())]
         if not grown:
             break
         nodes += grown
         live = grown
-    return labels, nodes
+    adopted = [_adopted(points, labels, parts, dims) for parts in splits]
+    if adopted:
+        found = adopted[0]
+        for more in adopted[1:]:
+            found = found.unionByName(more)
+        labels = cut(labels.join(found, "id", "left").select("id", F.coalesce("_new", "cluster_id").alias("cluster_id")), "labels")
+    return labels, collapse(nodes)
+
+
+def _adopted(points: DataFrame, labels: DataFrame, parts: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """(id, _new): points that a split made noise with the cluster of their nearest neighbour among those it kept."""
+    kept = labels.where("cluster_id > 0").join(parts.where("_part > 0").select("id"), "id", "left_semi")
+    noise = points.join(parts.where("_part = 0").select("id"), "id", "left_semi")
+    nearest = k_nearest(noise, points.join(kept.select("id"), "id", "left_semi"), dims, 1).select("id", "other")
+    return nearest.join(kept.select(F.col("id").alias("other"), F.col("cluster_id").alias("_new")), "other").select("id", "_new")
 
 
 def collapse(nodes: list[Node]) -> list[Node]:
