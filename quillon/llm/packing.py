@@ -27,6 +27,7 @@ SHARD_ITEMS = 1000  #: about so many items make a shard; larger ones are split
 NEIGHBOURS = 16  #: of so many best neighbours that fit the longest is taken
 K1, B = 1.2, 0.75
 ROOM = 0.95  #: containers filled less than this are merged across shards
+DRAWN_ROWS = 500  #: texts whose tokens are weighed at a time
 GROUP = 8  #: shards whose containers with room are merged together
 ITEMS = "size int, terms array<int>, counts array<int>"
 
@@ -105,11 +106,15 @@ def drawn(term: np.ndarray, weight: np.ndarray, first: np.ndarray, dice: int) ->
 
 
 def _drawn_of(batch: pa.RecordBatch, known: Statistics) -> tuple[np.ndarray, np.ndarray]:
-    terms, counts = (batch.column(c) for c in ("terms", "counts"))
-    edges = terms.offsets.to_numpy()
-    term, count = terms.flatten().to_numpy(), counts.flatten().to_numpy()
-    weight = known.weights(term, count, np.repeat(batch.column("size").to_numpy(), np.diff(edges)))
-    return tuple(drawn(term, weight, edges[:-1] - edges[0], d) for d in (1, 2)) if len(edges) > 1 else (np.zeros(0, np.int64),) * 2
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 2]
+    for at in range(0, batch.num_rows, DRAWN_ROWS):
+        own = batch.slice(at, DRAWN_ROWS)
+        terms, counts = (own.column(c) for c in ("terms", "counts"))
+        edges = terms.offsets.to_numpy()
+        term, count = terms.flatten().to_numpy(), counts.flatten().to_numpy()
+        weight = known.weights(term, count, np.repeat(own.column("size").to_numpy(), np.diff(edges)))
+        out.append(tuple(drawn(term, weight, edges[:-1] - edges[0], d) for d in (1, 2)))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 class Shards:
@@ -259,7 +264,7 @@ def dealt(rests: DataFrame, known: Statistics) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards.of(*_drawn_of(batch, known)))], [*batch.schema.names, "shard"])
 
     sizes = pairs.mapInArrow(number, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n"))
-    parts = sizes.select("shard", F.ceil(F.col("n") / (2 * SHARD_ITEMS)).alias("_parts")).where("_parts > 1")
+    parts = sizes.select("shard", F.ceil(F.col("n") / (1.25 * SHARD_ITEMS)).alias("_parts")).where("_parts > 1")
     schema = ", ".join([f"{n} {k}" for n, k in rests.dtypes] + ["shard long"])
     placed = dim_join(rests.mapInArrow(place, schema), parts, ["shard"], "left")
     return placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), F.coalesce("_parts", F.lit(1)))).drop("_parts"), shards.number
