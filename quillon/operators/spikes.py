@@ -2,14 +2,16 @@
 
 A source's readings lie in time order in range partitions over (source, time). A source that lies inside one
 partition is judged there. The outermost sources of a partition may go on in its neighbours (a heavy one fills
-many), so a partition emits their rows and a bounded state instead: histograms of levels and jumps, boundary runs
-and a pool of readings for the forest. States of a source are stitched in time order, and its rows are scored piece
-by piece with the features of the whole source, so that scores don't depend on where partitions end.
+many), so a partition emits their rows and a bounded state instead: histograms of levels and jumps, and boundary runs.
+States of a source are stitched in time order, its pieces count their readings by features, trees grow from the
+merged counts, and its rows are scored piece by piece with the features and the forest of the whole source, so that
+scores don't depend on where partitions end.
 
 Per source and measurement an isolation forest over level, difference, seasonal and run-length features scores every
-reading. A threshold calibrated on the source's own scores tells isolated readings from ordinary ones, and an
-isolated reading that lies FACTOR beyond all ordinary ones is a spike. Explicit rules find stuck runs, negative and
-physically impossible values.
+reading. Every reading is in the sample of a tree: a source has as many trees as its readings fill. A threshold
+calibrated on the scores of all its readings tells isolated ones from ordinary ones, and an isolated reading that
+lies FACTOR beyond all ordinary ones is a spike. Explicit rules find stuck runs, negative and physically impossible
+values.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ BIN = 0.02  #: width of the bins of levels and jumps, in natural logarithms
 LIMIT = 3.0  #: features are cut off here (a factor of 20)
 FACTOR = 5  #: how far a spike lies outside the ordinary values
 STUCK = 5  #: least length of a stuck run
-TREES, SAMPLE, DEPTH = 16, 64, 6
-POOL = TREES * SAMPLE  #: readings of a source that its trees and its threshold are taken from
+TREES, SAMPLE, DEPTH = 16, 64, 6  #: least number of a source's trees, readings of a tree, cuts above a leaf
+CHUNK = 4096  #: trees of a cut source that one task grows
+PAIRS = 1 << 18  #: readings times trees that are looked at together
 LOW, HIGH = 0.44, 0.53  #: scores between which a source's threshold lies
 APART = 3  #: readings at most this far apart belong to one visit of a level
 BESIDE = 4  #: neighbouring bins on either side that are looked at for a return to a level
@@ -70,10 +73,51 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return (_mix(x) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
 
 
+def trees_of(size: np.ndarray) -> np.ndarray:
+    """Number of trees of groups with so many readings: all of them are in some tree."""
+    return np.where(size > 0, np.maximum(-(-size // SAMPLE), TREES), 0)
+
+
+def numbered(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each tree, and its number in the group."""
+    trees = trees_of(size)
+    group = np.repeat(np.arange(len(size)), trees)
+    return group, np.arange(len(group)) - (np.cumsum(trees) - trees)[group]
+
+
+def shuffled(place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Each place in a fixed random order of so many, without a table: four mixing rounds over the next power of four, again while beyond ``size``."""
+    half = np.ceil(np.log2(np.maximum(size, 2)) / 2).astype(np.uint64)
+    size, out = size.astype(np.uint64), place.astype(np.uint64)
+    open_ = np.arange(len(out))
+    while len(open_):
+        x, h = out[open_], half[open_]
+        low = (np.uint64(1) << h) - np.uint64(1)
+        for k in range(4):
+            right = x & low
+            x = right << h | (x >> h) ^ (_mix(right * np.uint64(4) + np.uint64(k) + (size[open_] << np.uint64(24))) >> np.uint64(20) & low)
+        out[open_] = x
+        open_ = open_[x >= size[open_]]
+    return out.astype(np.int64)
+
+
+def places(size: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Places among a group's ``size`` readings that its tree ``number`` samples: (trees, SAMPLE).
+
+    The readings, in order of their features, are dealt to trees in random order. Small groups are gone through again.
+    """
+    n = np.repeat(size, SAMPLE)
+    turn = (number[:, None] * SAMPLE + np.arange(SAMPLE)).ravel() % n
+    return shuffled(turn, n).reshape(-1, SAMPLE)
+
+
 def deal(size: np.ndarray) -> np.ndarray:
-    """Places in each group's pool that its trees sample: (groups, TREES, SAMPLE); small pools are gone through again."""
-    place = np.arange(POOL)[None] % np.maximum(np.minimum(size, POOL), 1)[:, None]
-    return place.reshape(len(size), TREES, SAMPLE)
+    """Places that the trees of all groups sample, group by group; groups of one size are dealt alike."""
+    kinds, kind = np.unique(size, return_inverse=True)
+    owner, number = numbered(kinds)
+    first = np.cumsum(trees_of(kinds)) - trees_of(kinds)
+    group, own = numbered(size)
+    return places(kinds[owner], number)[first[kind[group]] + own]
 
 
 def _unsuccessful(n: np.ndarray) -> np.ndarray:
@@ -84,21 +128,22 @@ def _unsuccessful(n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Forest:
-    """Trees of every group as one flat table of full binary trees; ``leaf`` holds path lengths."""
+    """Trees of every group, one after the other, as full binary trees; ``leaf`` holds path lengths."""
 
     feature: np.ndarray
     cut: np.ndarray
     leaf: np.ndarray
 
 
-def grow(samples: np.ndarray) -> Forest:
-    """samples: (groups, TREES, SAMPLE, features), features from 0 to LIMIT.
+def grow(samples: np.ndarray, number: np.ndarray | None = None) -> Forest:
+    """samples: (trees, SAMPLE, features), features from 0 to LIMIT; ``number`` of each tree in its group.
 
     A cut lies between the least value of a node and the end of the node's box, not the largest value of its
     sample, so that a far reading is cut off even by trees whose sample holds none like it.
     """
-    g, t, n, f = samples.shape
-    trees, inner = g * t, (1 << DEPTH) - 1
+    trees, n, f = samples.shape
+    inner = (1 << DEPTH) - 1
+    number = np.arange(trees) if number is None else number
     x = np.ascontiguousarray(samples.reshape(trees * n, f), np.float32)
     row = np.arange(trees * n)
     tree = row // n
@@ -110,8 +155,8 @@ def grow(samples: np.ndarray) -> Forest:
     for level in range(DEPTH):
         width, first = 1 << level, (1 << level) - 1
         key, every = tree * width + node, np.arange(trees * width)
-        places = every.astype(np.uint64) % np.uint64(t * width) + np.uint64(1000 * level)
-        pick = (_uniform(places * np.uint64(2)) * f).astype(np.int8)
+        drawn = (number[:, None] % TREES * width + np.arange(width) + 1000 * level + 10_000 * (number[:, None] // TREES)).ravel().astype(np.uint64)
+        pick = (_uniform(drawn * np.uint64(2)) * f).astype(np.int8)
         low = np.full(trees * width, np.inf, np.float32)
         value = x[row, pick[key]]
         np.minimum.at(low, key, value)
@@ -119,7 +164,7 @@ def grow(samples: np.ndarray) -> Forest:
         high = box[every, pick]
         split = (count > 1) & (high > low)
         with np.errstate(invalid="ignore"):
-            at = np.where(split, low + _uniform(places * np.uint64(2) + np.uint64(1)) * (high - low), np.inf).astype(np.float32)
+            at = np.where(split, low + _uniform(drawn * np.uint64(2) + np.uint64(1)) * (high - low), np.inf).astype(np.float32)
         # a node of equal values in the picked feature still counts as one of its size
         stop = np.where(count <= 1, np.float32(level), np.float32(-1)).reshape(trees, width)
         ended = np.repeat(np.where(ended >= 0, ended, stop), 2, axis=1)
@@ -132,22 +177,39 @@ def grow(samples: np.ndarray) -> Forest:
     return Forest(feature, cut_at, leaf.astype(np.float32))
 
 
-def score(forest: Forest, x: np.ndarray, group: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Anomaly score in (0, 1) of each row of ``x`` in the forest of its group; ``sizes`` are the groups' readings."""
-    path = np.zeros(len(x), np.float32)
+def paths(forest: Forest, x: np.ndarray, first: np.ndarray, trees: np.ndarray) -> np.ndarray:
+    """Sum of each row's path lengths in ``trees`` trees from its ``first`` on, exact in whatever order trees come."""
+    path = np.zeros(len(x))
     flat, f = np.ascontiguousarray(x, np.float32).ravel(), x.shape[1]
-    base = np.arange(len(x)) * f
     inner = forest.feature.shape[1]
     feature, cuts, leaf = forest.feature.ravel(), forest.cut.ravel(), forest.leaf.ravel()
-    for t in range(TREES):
-        top = (group * TREES + t) * inner
-        node = np.zeros(len(x), np.int64)
+    ends = np.cumsum(trees)
+    at = 0
+    while at < len(x):
+        end = max(int(np.searchsorted(ends, ends[at] - trees[at] + PAIRS, "right")), at + 1)
+        row = np.repeat(np.arange(at, end), trees[at:end])
+        starts = ends[at:end] - trees[at:end] - (ends[at] - trees[at])
+        tree = np.arange(len(row)) - starts[row - at] + first[row]
+        base, top = row * f, tree * inner
+        node = np.zeros(len(row), np.int64)
         for _ in range(DEPTH):
-            at = top + node
-            node = 2 * node + 1 + (flat[base + feature[at]] >= cuts[at])
-        path += leaf[(group * TREES + t) * (inner + 1) + node - inner]
-    expected = _unsuccessful(np.minimum(sizes, SAMPLE))[group]
-    return np.exp2(-path / TREES / np.maximum(expected, 1e-6))
+            place = top + node
+            node = 2 * node + 1 + (flat[base + feature[place]] >= cuts[place])
+        path[at:end] = np.add.reduceat(leaf[tree * (inner + 1) + node - inner].astype(np.float64), starts)
+        at = end
+    return path
+
+
+def anomaly(path: np.ndarray, trees: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Anomaly score in (0, 1) from the sum of path lengths in a group's trees and the number of its readings."""
+    expected = _unsuccessful(np.minimum(size, SAMPLE))
+    return np.exp2(-path / trees / np.maximum(expected, 1e-6)).astype(np.float32)
+
+
+def score(forest: Forest, x: np.ndarray, group: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Anomaly score of each row of ``x`` in the forest of its group; ``sizes`` are the groups' readings."""
+    trees = trees_of(sizes)
+    return anomaly(paths(forest, x, (np.cumsum(trees) - trees)[group], trees[group]), trees[group], sizes[group])
 
 
 def thresholds(scores: np.ndarray, group: np.ndarray, n_groups: int) -> np.ndarray:
@@ -167,6 +229,8 @@ def thresholds(scores: np.ndarray, group: np.ndarray, n_groups: int) -> np.ndarr
 # ---------------------------------------------------------------- features
 
 SPAN = 1 << 20
+STEPS, RUNS = round(LIMIT / BIN) + 1, int(np.exp(LIMIT)) + 2  #: values of a feature that is a distance, and of run lengths
+CODES = STEPS**3 * RUNS
 
 
 @dataclass
@@ -200,14 +264,14 @@ class Histogram:
 
 
 def features(source: np.ndarray, level: np.ndarray, jump: np.ndarray, pos: np.ndarray, run_size: np.ndarray, levels: Histogram, jumps: Histogram) -> np.ndarray:
-    """Four features, each 0 for the most ordinary reading and at most LIMIT.
+    """Four features of each reading as one code (see ``vectors``), each 0 for the most ordinary one and at most LIMIT.
 
     Level: distance to the second nearest of the source's other levels. Difference: distance of the jump from the
     reading before to the nearest other jump of the source. Seasonal: distance to the nearest level seen in another
     visit, more than APART readings before or after. Run length: logarithm.
     """
     if not len(level):
-        return np.zeros((0, 4), np.float32)
+        return np.zeros(0, np.int64)
     at = levels.find(source, level)
     (l1, dl), (r1, dr) = levels.beside(-1), levels.beside(1)
     left = np.where(levels.count[l1] > 1, dl, levels.beside(-2)[1])
@@ -223,7 +287,17 @@ def features(source: np.ndarray, level: np.ndarray, jump: np.ndarray, pos: np.nd
         back[seen] = far[seen]
     step = np.minimum(jumps.beside(-1)[1], jumps.beside(1)[1])
     step = np.where(jumps.count > 1, 0, step)[jumps.find(source, jump)]
-    return np.minimum(np.stack([out * BIN, step * BIN, back * BIN, np.log(run_size)], 1), LIMIT).astype(np.float32)
+    code = np.zeros(len(level), np.int64)
+    for far in (out, step, back):
+        code = code * STEPS + np.minimum(far, STEPS - 1)
+    return code * RUNS + np.minimum(run_size, RUNS - 1)
+
+
+def vectors(code: np.ndarray) -> np.ndarray:
+    """The features as numbers: (readings, 4)."""
+    far = code // RUNS
+    distances = [far // STEPS**2 * BIN, far // STEPS % STEPS * BIN, far % STEPS * BIN]
+    return np.minimum(np.stack([*distances, np.log(code % RUNS)], 1), LIMIT).astype(np.float32)
 
 
 @dataclass
@@ -257,10 +331,14 @@ class Readings:
     def jumps(self, rows: np.ndarray | slice = slice(None)) -> Histogram:
         return Histogram.of(self.source[rows], self.jump[rows], np.ones_like(self.jump[rows]), self.pos[rows], self.pos[rows])
 
-    def pool(self, instance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Readings by source and hash of their instance, and where each source's first POOL of them are."""
-        order = np.lexsort((_mix(instance[self.row]), self.source))
-        return order, np.flatnonzero(np.arange(len(order)) - self.start[self.source] < POOL)
+    def isolated(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score of each reading, and whether the forest of all readings of its source isolates it."""
+        key, of, count = np.unique(self.source * CODES + code, return_inverse=True, return_counts=True)
+        x, owner = vectors(key % CODES), key // CODES
+        group, number = numbered(self.size)
+        sampled = np.repeat(np.arange(len(key)), count)[deal(self.size) + self.start[group][:, None]]
+        found = score(grow(x[sampled], number), x, owner, self.size)
+        return found[of], (found >= thresholds(found, owner, self.n_sources)[owner])[of]
 
 
 def far_from(v: np.ndarray, least: np.ndarray, largest: np.ndarray) -> np.ndarray:
@@ -344,12 +422,8 @@ def judge_whole(piece: Piece) -> dict[str, np.ndarray]:
     marks, bounds = piece.marks(), {}
     for t in piece.types:
         r = piece.readings(t)
-        x = features(r.source, r.level, r.jump, r.pos, r.run_size[r.run], r.levels(), r.jumps())
-        order, pooled = r.pool(piece.instance)
-        if len(order):
-            samples = x[order[np.minimum(deal(r.size) + r.start[:, None, None], len(order) - 1)]]
-            found = score(grow(samples), x, r.source, r.size)
-            isolated = found >= thresholds(found[order[pooled]], r.source[pooled], r.n_sources)[r.source]
+        if len(r.value):
+            found, isolated = r.isolated(features(r.source, r.level, r.jump, r.pos, r.run_size[r.run], r.levels(), r.jumps()))
             marks["k"][t][r.row], marks["s"][t][r.row] = rules(r, r.run_size[r.run], r.runs_of <= 1, isolated), found
         else:
             isolated = np.zeros(0, bool)
@@ -363,17 +437,13 @@ KINDS = ["", "spike", "stuck", "negative", "over physical limit"]
 # ---------------------------------------------------------------- sources that cross partitions
 
 
-def state_of(r: Readings, instance: np.ndarray) -> dict | None:
+def state_of(r: Readings) -> dict | None:
     """Bounded, mergeable state of one source in one piece."""
     n = len(r.value)
     if not n:
         return None
-    order, pooled = r.pool(instance)
-    own = order[pooled]
-    edge = (r.run == 0) * 1 + (r.run == r.run[-1]) * 2
     return {"n": n, "levels": r.levels(), "jumps": r.jumps(slice(1, None)), "ends": (int(r.level[0]), int(r.level[-1])),
-            "head": (int(r.value[0]), int(r.run_size[0])), "tail": (int(r.value[-1]), int(r.run_size[-1])), "runs": len(r.run_size),
-            "pool": np.stack([instance[r.row[own]], r.level[own], r.jump[own], r.pos[own], r.run_size[r.run[own]], edge[own]])}
+            "head": (int(r.value[0]), int(r.run_size[0])), "tail": (int(r.value[-1]), int(r.run_size[-1])), "runs": len(r.run_size)}
 
 
 def stitch(states: list[dict | None]) -> tuple[dict | None, list[dict]]:
@@ -406,21 +476,13 @@ def stitch(states: list[dict | None]) -> tuple[dict | None, list[dict]]:
     levels = Histogram.of(*[both("levels", p, p in ("first", "last")) for p in ("source", "bin", "count", "first", "last")])
     jumps = Histogram.of(np.r_[both("jumps", "source", False), zero(len(across))], np.r_[both("jumps", "bin", False), across],
                          np.r_[both("jumps", "count", False), zero(len(across)) + 1], np.r_[both("jumps", "first", True), zero(len(across))], np.r_[both("jumps", "last", True), zero(len(across))])
-    pool = []
-    for i, s in some:
-        instance, level, jump, pos, size, edge = s["pool"]
-        jump = np.where((pos == 0) & (parts[i]["before"] is not None), level - (parts[i]["before"] or 0), jump)
-        size = np.where(edge & 1, parts[i]["ends"][0], np.where(edge & 2, parts[i]["ends"][1], size))
-        pool.append(np.stack([instance, level, jump, pos + parts[i]["offset"], size]))
-    pool = np.concatenate(pool, 1)
-    instance, level, jump, pos, size = pool[:, np.argsort(_mix(pool[0]), kind="stable")[:POOL]]
-    x = features(zero(len(pos)), level, jump, pos, size, levels, jumps)
-    return {"n": n, "levels": levels, "jumps": jumps, "constant": len(chains) == 1, "pool": x}, parts
+    return {"levels": levels, "jumps": jumps, "constant": len(chains) == 1}, parts
 
 
 KEYED = "trace_id long, task_id long, thread_id long"
 JUDGED = f"kind string, instance long, event_type long, fault string, score double, {KEYED}, piece long, time long, blob binary"
 STITCHED = f"{KEYED}, piece long, blob binary"
+COUNTED = f"{KEYED}, event_type long, trees long, blob binary"
 
 
 def _rows_out(schema: str, n: int, **columns) -> pa.RecordBatch:  # noqa: ANN003
@@ -457,7 +519,7 @@ def _judge_partition(types: list[int]):
             own = whole.slice(bounds[s], bounds[s + 1] - bounds[s]).combine_chunks()
             piece = Piece(own, types)
             at = {"piece": [(number << 32) + s], "time": [int(piece.time[0])]}
-            state = pickle.dumps({t: state_of(piece.readings(t), piece.instance) for t in types})
+            state = pickle.dumps({t: state_of(piece.readings(t)) for t in types})
             yield _rows_out(JUDGED, 1, kind=["state"], **{k: [int(v[0])] for k, v in zip(Piece.KEYS, piece.keys)}, **at, blob=[state])
             for first in range(0, own.num_rows, 2000):
                 sink = pa.BufferOutputStream()
@@ -484,33 +546,89 @@ def _scored(types: list[int]) -> str:
     return ", ".join([f"kind string, {KEYED}, instance long, begin_time long, clock long, issue long", *each])
 
 
+def _opened(rows: pa.Table, facts: bytes, types: list[int]) -> tuple[Piece, dict]:
+    """A piece of a cut source; per measurement its readings, sizes of their runs, features by the whole source, and if that is constant."""
+    rows = rows.sort_by("time")
+    whole = pa.concat_tables([pa.ipc.open_stream(pa.py_buffer(b)).read_all() for b in rows.column("blob").to_pylist()]).combine_chunks()
+    piece, own = Piece(whole, types), {}
+    for t, (f, part) in pickle.loads(facts).items():
+        r = piece.readings(t)
+        if f is None or not len(r.value):
+            continue
+        size = r.run_size.copy()
+        size[-1], size[0] = part["ends"][1], part["ends"][0]
+        jump = r.jump.copy()
+        jump[0] = 0 if part["before"] is None else r.level[0] - part["before"]
+        code = features(r.source, r.level, jump, r.pos + part["offset"], size[r.run], f["levels"], f["jumps"])
+        own[t] = r, size[r.run], code, f["constant"]
+    return piece, own
+
+
+def _count_piece(types: list[int]):
+    """The readings of a piece by their features."""
+
+    def run(rows: pa.Table, facts: pa.Table) -> pa.Table:
+        if not rows.num_rows or not facts.num_rows:
+            return pa.Table.from_batches([_rows_out(COUNTED, 0)])
+        piece, own = _opened(rows, facts.column("blob")[0].as_py(), types)
+        blobs = [pickle.dumps(np.unique(code, return_counts=True)) for _, _, code, _ in own.values()]
+        keys = {k: np.full(len(own), v[0]) for k, v in zip(Piece.KEYS, piece.keys)}
+        return pa.Table.from_batches([_rows_out(COUNTED, len(own), **keys, event_type=list(own), blob=blobs)])
+
+    return run
+
+
+def _one_row(table: pa.Table, blob: tuple, trees: int) -> pa.Table:
+    keys = {k: table.column(k).to_numpy()[:1] for k in (*Piece.KEYS, "event_type")}
+    return pa.Table.from_batches([_rows_out(COUNTED, 1, **keys, trees=[trees], blob=[pickle.dumps(blob)])])
+
+
+def _merge_counts(table: pa.Table) -> pa.Table:
+    """All readings of a source and measurement by their features, and the number of their trees."""
+    codes, counts = (np.concatenate(c) for c in zip(*[pickle.loads(b) for b in table.column("blob").to_pylist()]))
+    code, of = np.unique(codes, return_inverse=True)
+    count = np.zeros(len(code), np.int64)
+    np.add.at(count, of, counts)
+    return _one_row(table, (code, count), int(trees_of(count.sum())))
+
+
+def _grow_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Path lengths of all features in one chunk of a source's trees."""
+    for batch in batches:
+        paths_of = []
+        for blob, trees, chunk in zip(*(batch.column(c).to_pylist() for c in ("blob", "trees", "chunk"))):
+            code, count = pickle.loads(blob)
+            number = np.arange(chunk * CHUNK, min((chunk + 1) * CHUNK, trees))
+            x, ends = vectors(code), np.cumsum(count)
+            forest = grow(x[np.searchsorted(ends, places(np.full(len(number), ends[-1]), number), "right")], number)
+            paths_of.append(pickle.dumps((code, int(ends[-1]), paths(forest, x, np.zeros(len(x), np.int64), np.full(len(x), len(number))))))
+        keys = {c: batch.column(c) for c in (*Piece.KEYS, "event_type", "trees")}
+        yield _rows_out(COUNTED, len(paths_of), **keys, blob=paths_of)
+
+
+def _score_counts(table: pa.Table) -> pa.Table:
+    """Scores of a source's features over all its trees, and which are isolated."""
+    codes, sizes, sums = zip(*[pickle.loads(b) for b in table.column("blob").to_pylist()])
+    code, trees, own = codes[0], table.column("trees")[0].as_py(), np.zeros(len(codes[0]), np.int64)
+    found = anomaly(np.sum(sums, axis=0), np.full(len(code), trees), np.full(len(code), sizes[0]))
+    return _one_row(table, (code, found, found >= thresholds(found, own, 1)[own]), trees)
+
+
 def _score_piece(types: list[int]):
     schema = _scored(types)
 
     def run(rows: pa.Table, facts: pa.Table) -> pa.Table:
         if not rows.num_rows or not facts.num_rows:
             return pa.Table.from_batches([_rows_out(schema, 0)])
-        rows = rows.sort_by("time")
-        whole = pa.concat_tables([pa.ipc.open_stream(pa.py_buffer(b)).read_all() for b in rows.column("blob").to_pylist()]).combine_chunks()
-        piece = Piece(whole, types)
+        blobs = dict(zip(facts.column("event_type").to_pylist(), facts.column("blob").to_pylist()))
+        piece, own = _opened(rows, blobs[None], types)
         marks, range_of = piece.marks(), {}
-        for t, (f, part) in pickle.loads(facts.column("blob")[0].as_py()).items():
-            r = piece.readings(t)
-            if f is None or not len(r.value):
-                continue
-            size = r.run_size.copy()
-            size[-1], size[0] = part["ends"][1], part["ends"][0]
-            jump = r.jump.copy()
-            jump[0] = 0 if part["before"] is None else r.level[0] - part["before"]
-            x = features(r.source, r.level, jump, r.pos + part["offset"], size[r.run], f["levels"], f["jumps"])
-            forest = grow(f["pool"][deal(np.array([f["n"]]))])
-            own = np.zeros(len(f["pool"]), np.int64)
-            whole_size = np.array([f["n"]])
-            found = score(forest, x, r.source, whole_size)
-            isolated = found >= thresholds(score(forest, f["pool"], own, whole_size), own, 1)[0]
-            marks["s"][t][r.row] = found
-            marks["k"][t][r.row] = rules(r, size[r.run], np.array([f["constant"]]), isolated)
-            range_of[t] = ordinary(r, isolated)
+        for t, (r, size, code, constant) in own.items():
+            known, found, isolated = pickle.loads(blobs[t])
+            at = np.searchsorted(known, code)
+            marks["s"][t][r.row] = found[at]
+            marks["k"][t][r.row] = rules(r, size, np.array([constant]), isolated[at])
+            range_of[t] = ordinary(r, isolated[at])
         trial = {t: k.copy() for t, k in marks["k"].items()}
         some = np.any([k != 0 for k in trial.values()], axis=0)
         for k in trial.values():
@@ -555,13 +673,23 @@ def implausible(bursts: DataFrame, events: DataFrame, traces: DataFrame) -> Data
     columns = ["instance", "trace_id", "task_id", "thread_id", "begin_time", "clock", "issue", *[f"m{t}" for t in types]]
     wide = cut(wide.select(*columns), "measurements")
     # null keys sort first and are told apart from all ids, which are not negative
-    ranged = range_split(wide, list(Piece.KEYS), ["begin_time", "instance"], wide.count(), PARTITION_ROWS)
+    number = wide.count()
+    ranged = range_split(wide, list(Piece.KEYS), ["begin_time", "instance"], number, PARTITION_ROWS)
     judged = cut(ranged.mapInArrow(_judge_partition(types), JUDGED), "implausible")
     names = ["instance", "event_type", "fault", "score"]
     states = judged.where("kind = 'state'").select(*Piece.KEYS, "piece", "time", "blob")
-    facts = states.groupBy(*Piece.KEYS).applyInArrow(_stitch_source, STITCHED).select("piece", "blob")
+    facts = cut(states.groupBy(*Piece.KEYS).applyInArrow(_stitch_source, STITCHED), "facts")
     rows = judged.where("kind = 'rows'").select("piece", "time", "blob")
-    scored = cut(rows.groupBy("piece").cogroup(facts.groupBy("piece")).applyInArrow(_score_piece(types), _scored(types)), "scored")
+    by = [*Piece.KEYS, "event_type"]
+    counts = rows.groupBy("piece").cogroup(facts.select("piece", "blob").groupBy("piece")).applyInArrow(_count_piece(types), COUNTED)
+    counts = counts.groupBy(*by).applyInArrow(_merge_counts, COUNTED).withColumn("chunk", F.explode(F.expr(f"sequence(0L, (trees - 1) div {CHUNK})")))
+    # a set number of partitions, as a chunk has few bytes and much work: eight chunks each, if all sources are cut
+    parts = max(int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")), number * len(types) // (8 * CHUNK * SAMPLE))
+    chunks = counts.repartition(parts, *by, "chunk").mapInArrow(_grow_chunk, COUNTED)
+    forests = cut(chunks.groupBy(*by).applyInArrow(_score_counts, COUNTED), "forests")
+    known = dim_join(forests, facts.select(*Piece.KEYS, "piece"), list(Piece.KEYS)).select("piece", "event_type", "blob")
+    known = known.unionByName(facts.select("piece", F.lit(None).cast("long").alias("event_type"), "blob"))
+    scored = cut(rows.groupBy("piece").cogroup(known.groupBy("piece")).applyInArrow(_score_piece(types), _scored(types)), "scored")
     ends = [f(f"{n}{t}").alias(f"{n}{t}") for t in types for n, f in (("lo", F.min), ("hi", F.max))]
     ranges = scored.where("kind = 'range'").groupBy(*Piece.KEYS).agg(*ends)
     opened = dim_join(scored.where("kind = 'row'").drop("kind", *[f"{n}{t}" for t in types for n in ("lo", "hi")]), ranges, list(Piece.KEYS))

@@ -1,5 +1,6 @@
 """Skew-proof results per key, broken lines and implausible measurements."""
 
+import pickle
 import random
 import re
 
@@ -260,6 +261,47 @@ def test_two_spikes_of_like_height_are_no_level():
     assert sorted(spikes.judge_whole(_piece([own, own[::-1]]))["instance"].tolist()) == [10, 33, 60, 10_059, 10_086, 10_109]
 
 
+def _long_source(seed, n=5000):
+    """Four levels, and six single spikes far beyond them."""
+    rng = np.random.default_rng(seed)
+    own = np.exp(rng.uniform(8, 12, 4))[rng.integers(0, 4, n)] * np.exp(rng.normal(0, 0.05, n))
+    at = rng.choice(n - 10, 6, replace=False) + 5
+    own[at] = own.max() * np.array([8, 14, 25, 45, 80, 140])
+    return own.astype(np.int64).tolist(), set(at.tolist())
+
+
+def test_spikes_of_long_sources_are_found():
+    """The threshold lies between the scores of all readings: a sample of 1024 of 5000 holds hardly any of six spikes."""
+    for seed in range(8):
+        own, wanted = _long_source(seed)
+        found = spikes.judge_whole(_piece([own]))
+        assert set(found["instance"][found["fault"] == 1].tolist()) == wanted
+
+
+def test_every_reading_is_in_a_tree():
+    for sizes in ([1], [63], [1024], [1025], [70_001], [42, 0, 1500, 42]):
+        group, _ = spikes.numbered(np.array(sizes))
+        places = spikes.deal(np.array(sizes))
+        for g, n in enumerate(sizes):
+            often = np.bincount(places[group == g].ravel(), minlength=n)
+            assert len(often) == n and (not n or often.max() - often.min() <= 1 and often.min() >= 1)
+
+
+def test_trees_grown_in_chunks_score_alike(monkeypatch):
+    """A cut source's readings, counted in three pieces and scored by trees in several tasks, as in one piece."""
+    monkeypatch.setattr(spikes, "CHUNK", 7)
+    r = _piece([_long_source(1)[0]]).readings(spikes.DURATION)
+    code = spikes.features(r.source, r.level, r.jump, r.pos, r.run_size[r.run], r.levels(), r.jumps())
+    keys = dict.fromkeys(spikes.Piece.KEYS, [0] * 3)
+    pieces = [pickle.dumps(np.unique(c, return_counts=True)) for c in np.array_split(code, 3)]
+    counted = spikes._merge_counts(pa.Table.from_batches([spikes._rows_out(spikes.COUNTED, 3, **keys, event_type=[1] * 3, blob=pieces)]))
+    trees = counted.column("trees")[0].as_py()
+    chunks = [counted.append_column("chunk", pa.array([c], pa.int64())).to_batches()[0] for c in range(-(-trees // 7))]
+    known, found, isolated = pickle.loads(spikes._score_counts(pa.Table.from_batches(spikes._grow_chunk(chunks[::-1]))).column("blob")[0].as_py())
+    at = np.searchsorted(known, code)
+    assert trees == 79 and len(chunks) == 12 and all((a == b[at]).all() for a, b in zip(r.isolated(code), (found, isolated)))
+
+
 def test_implausible_of_nulls_and_empty_tables(spark):
     bursts, events, traces = _tables(spark)
     assert spikes.implausible(bursts.limit(0), events.limit(0), traces.limit(0)).count() == 0
