@@ -165,7 +165,7 @@ def _classify_by_grid(rows: DataFrame, model: DataFrame, eps: float, min_points:
     if eps > 0:
         corner = model.select("cluster_id", F.inline("points")).select(F.struct("cluster_id", "near", "x", "y").alias("id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
         asked = rows.join(hit, "key", "left_anti").select(F.struct("key", "_near").alias("id"), "_x", "_y")
-        close = radius_pairs(asked, corner, ["_x", "_y"], eps).select("id.key", "id._near", "other.cluster_id", "other.near", "d2")
+        close = radius_pairs(asked, corner, ["_x", "_y"], eps, small=True).select("id.key", "id._near", "other.cluster_id", "other.near", "d2")
         close = close.groupBy("key", "_near", "cluster_id").agg(F.min("d2").alias("d2"), F.min_by("near", "d2").alias("near")).where(F.col("near") + F.col("_near") + 1 >= min_points)
         hit = hit.unionByName(close.groupBy("key").agg(F.min_by("cluster_id", F.struct("d2", "cluster_id")).alias("cluster_id")))
     return rows.select("key").join(hit, "key", "left").select("key", F.coalesce("cluster_id", F.lit(0)).cast("long").alias("cluster_id"))
@@ -235,7 +235,7 @@ def tree_clustering(points: DataFrame, x: str, y: str, backend: str, eps: float,
         labels = cut(apart.join(dbscan(apart.select("id", *dims), dims, eps, least), "id"), "level")
         model = hulls(labels, "x", "y", key="id", duration="_d")
         corners = model.select("cluster_id", F.inline("points")).join(labels.where("cluster_id > 0").groupBy("cluster_id").agg(F.min("_b").alias("_b")), "cluster_id")
-        counted = radius_pairs(corners.select(F.col("instance").alias("id"), *dims), apart.select("id", *dims), dims, eps).groupBy("id").agg((F.count(F.lit(1)) - 1).alias("n"))
+        counted = radius_pairs(corners.select(F.col("instance").alias("id"), *dims), apart.select("id", *dims), dims, eps, small=True).groupBy("id").agg((F.count(F.lit(1)) - 1).alias("n"))
         near = {r["id"]: r["n"] for r in counted.collect()}  # corners of one model
         places = {r["cluster_id"]: int(r["n"]) for r in labels.where("cluster_id > 0").groupBy("cluster_id").agg(F.min(node).alias("n")).collect()}
         grouped: dict[int, list[dict]] = {}

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quillon.runtime import cut
 
 GRID_DIMS = 3
+#: Ids of equal points in one list at most; parts into which the points of a cell are dealt.
+LIST, SALTS = 256, 8
 
 
 def cell(column: str, width: float) -> Column:
@@ -29,23 +31,50 @@ def squared(dims: Sequence[str], a: str, b: str) -> Column:
     return reduce(lambda s, x: s + x, [(F.col(f"{a}.{d}") - F.col(f"{b}.{d}")) * (F.col(f"{a}.{d}") - F.col(f"{b}.{d}")) for d in dims])
 
 
-def radius_pairs(points: DataFrame, others: DataFrame, dims: Sequence[str], eps: float, strict: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+def radius_pairs(points: DataFrame, others: DataFrame, dims: Sequence[str], eps: float, strict: bool = False, keep: Sequence[str] = (), salts: int = 1, small: bool = False) -> DataFrame:
     """(id, other, d2, and ``keep`` of the others) with squared distance at most eps^2 (below it if ``strict``), a point itself included.
 
     Rows with a null coordinate have no neighbours. The result has one row per pair of rows: give distinct
-    points where copies abound.
+    points where copies abound. Points of a cell are spread over ``salts`` tasks. The join merges sorted rows: the
+    sizes that decide on a broadcast are those of compressed files and don't count the 3^d cells. Unless one side is ``small``.
     """
     grid = dims[:GRID_DIMS]
     a, b = points.dropna(subset=list(dims)), others.dropna(subset=list(dims))
+    keys = [f"_c_{d}" for d in grid]
     for d in grid:
         at = cell(d, eps)
         a = a.withColumn(f"_c_{d}", F.explode(F.array(at - 1, at, at + 1)))
         b = b.withColumn(f"_c_{d}", at)
+    if salts > 1:
+        a = a.withColumn("_salt", F.pmod(F.xxhash64("id", *dims), F.lit(salts)).cast("int"))
+        b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        keys.append("_salt")
     a, b = a.alias("a"), b.alias("b")
-    same = [F.col(f"a._c_{d}") == F.col(f"b._c_{d}") for d in grid]
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]
     d2 = squared(dims, "a", "b")
     bound = F.lit(float(eps) * float(eps))
-    return a.join(b, reduce(lambda x, y: x & y, same)).where(d2 < bound if strict else d2 <= bound).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), d2.alias("d2"), *[F.col(f"b.{c}").alias(c) for c in keep])
+    met = (a if small else a.hint("merge")).join(b, reduce(lambda x, y: x & y, same))
+    return met.where(d2 < bound if strict else d2 <= bound).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), d2.alias("d2"), *[F.col(f"b.{c}").alias(c) for c in keep])
+
+
+def listed(points: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Distinct points: coordinates and, as id, the list of the ids of its rows, in pieces of at most LIST."""
+    none = F.array_repeat(F.lit(None).cast(points.schema["id"].dataType), (F.count(F.lit(1)) - F.count("id")).cast("int"))
+    own = points.dropna(subset=list(dims)).groupBy(*dims).agg(F.concat(F.collect_list("id"), none).alias("id"))
+    return own.withColumn("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("id"), F.lit(LIST)), lambda i: F.slice("id", i, LIST))))
+
+
+def row_pairs(points: DataFrame, dims: Sequence[str], eps: float, digits: int) -> DataFrame:
+    """J12 of a table with itself: (id, other, d2 rounded) of all pairs of rows within eps.
+
+    Distances are taken and rounded once for each pair of distinct points; the rows of both are listed beside them and
+    written out last, in the same tasks, so that nothing of the size of the result is sorted or shuffled.
+    """
+    own = cut(listed(points, dims), "listed")
+    met = radius_pairs(own, own, dims, eps, salts=SALTS).select("id", "other", F.round("d2", digits).alias("d2"))
+    # generated code holds all that comes of one row at once: coalesce, which joins no tasks here, ends it between pairs and their rows
+    pairs = met.coalesce(1 << 20)
+    return pairs.select(F.explode("id").alias("id"), "other", "d2").select("id", F.explode("other").alias("other"), "d2")
 
 
 def folded(points: DataFrame, dims: Sequence[str]) -> DataFrame:

@@ -309,7 +309,7 @@ def line_gather(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_P} SELECT a.id, b.id AS other, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 12) AS d2 FROM p0 a JOIN p0 b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {EPS!r}::DOUBLE * {EPS!r}::DOUBLE")
 def eps_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbors.radius_pairs(parts(spark, folder), parts(spark, folder), ["x", "y"], EPS).withColumn("d2", F.round("d2", 12))
+    return neighbors.row_pairs(parts(spark, folder), ["x", "y"], EPS, 12)
 
 
 @query(f"WITH {_P} SELECT a.id, count(*) AS neighbours FROM p0 a JOIN p0 b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {EPS!r}::DOUBLE * {EPS!r}::DOUBLE GROUP BY a.id")

@@ -1,6 +1,7 @@
 """Burst operators on hand-made cases and against simple sequential versions."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -244,6 +245,24 @@ def test_components(spark, split, monkeypatch):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_rows_of_many_copies(spark, tmp_path):
+    """More copies of a point than a list holds, null ids and null coordinates; no side goes to the driver."""
+    import __spark_entry__
+
+    rng = random.Random(5)
+    rows = [(i, 10, 950.0) for i in range(300)] + [(1000 + i, rng.randint(9, 11), 900 + rng.randint(0, 900) / 10) for i in range(200)] + [(None, 10, 951.0), (5000, None, 950.0), (5001, 10, None)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    df = __spark_entry__.queries()["eps_pairs"](spark, str(tmp_path))
+    points = [(i, s / 50.0, (p - 900.0) / 1200.0) for i, s, p in rows if s is not None and p is not None]
+    want = Counter((a, b) for a, x, y in points for b, v, w in points if (x - v) * (x - v) + (y - w) * (y - w) <= 0.012 * 0.012)
+    assert Counter((r["id"], r["other"]) for r in df.collect()) == want and want[(0, 299)] == want[(None, 0)] == 1
+    assert "BroadcastHashJoin" not in _plan(df)
+
+
 def test_nearest_and_k_distances(spark):
     rng = np.random.default_rng(1)
     x = np.round(rng.random((120, 2)), 2)
