@@ -141,11 +141,18 @@ def k_distances(points: DataFrame, dims: Sequence[str], k_begin: int, k_end: int
 
 
 def nearest_label(rows: DataFrame, samples: DataFrame, dims: Sequence[str], eps: float, cluster: str = "cluster_id", noise: int = 0) -> DataFrame:
-    """(id, cluster) of the nearest sample closer than eps, ties by the sample's id, else noise."""
-    pairs = radius_pairs(rows, samples, dims, eps, strict=True)
-    best = pairs.groupBy("id").agg(F.min(F.struct("d2", "other")).alias("best")).select("id", F.col("best.other").alias("_s"))
-    labelled = best.join(samples.select(F.col("id").alias("_s"), F.col(cluster).alias("_label")), "_s").select("id", "_label")
-    return rows.select("id").join(labelled, "id", "left").select("id", F.coalesce("_label", F.lit(noise)).alias(cluster))
+    """(id, cluster) of the nearest sample closer than eps, ties by the sample's id, else noise.
+
+    Distinct points meet distinct samples, of equal ones that of the least id; all rows of a point then take its sample.
+    """
+    own = cut(listed(rows, dims), "rows")
+    known = samples.dropna(subset=list(dims)).groupBy(*dims).agg(F.min(F.struct("id", F.col(cluster).alias("_label"))).alias("_s")).select(*dims, "_s.*")
+    points = own.select(*dims).distinct().select(F.struct(*dims).alias("id"), *dims)
+    pairs = radius_pairs(points, known, dims, eps, strict=True, keep=["_label"])
+    best = pairs.groupBy("id").agg(F.min(F.struct("d2", "other", "_label")).alias("best")).select("id.*", "best")
+    labelled = own.join(best.hint("merge"), list(dims)).select(F.explode("id").alias("id"), "best")
+    labelled = labelled.groupBy("id").agg(F.min("best").alias("best")).select("id", "best._label")
+    return rows.select("id").join(labelled.hint("merge"), "id", "left").select("id", F.coalesce("_label", F.lit(noise)).alias(cluster))
 
 
 def auto_epsilon(distances: DataFrame, values: int = 10) -> DataFrame:

@@ -263,6 +263,23 @@ def test_pairs_of_rows_of_many_copies(spark, tmp_path):
     assert "BroadcastHashJoin" not in _plan(df)
 
 
+def test_nearest_samples_of_many_copies(spark, tmp_path):
+    """All copies of a point take the label of one nearest sample, and no side goes to the driver."""
+    import __spark_entry__
+
+    rng = random.Random(6)
+    rows = [(i, 10, 950.0) for i in range(300)] + [(1000 + i, rng.randint(5, 15), 900 + rng.randint(0, 900) / 10) for i in range(200)] + [(None, 10, 951.0), (5000, None, 950.0), (5001, 10, None), (5002, 40, 950.0)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    df = __spark_entry__.queries()["nn_classify"](spark, str(tmp_path))
+    points = [(i, s / 50.0, (p - 900.0) / 1200.0) for i, s, p in rows if s is not None and p is not None and i is not None]
+    want = {i: 0 for i, *_ in rows}
+    for a, x, y in points:
+        near = [(d2, b) for b, v, w in points if b % 5 == 0 and (d2 := (x - v) * (x - v) + (y - w) * (y - w)) < 0.012 * 0.012]
+        want[a] = min(near)[1] % 7 + 1 if near else 0
+    assert Counter((r["id"], r["cluster_id"]) for r in df.collect()) == Counter(want.items()) and want[299] == 1 and want[5002] == 0
+    assert "BroadcastHashJoin" not in _plan(df)
+
+
 def test_nearest_and_k_distances(spark):
     rng = np.random.default_rng(1)
     x = np.round(rng.random((120, 2)), 2)
